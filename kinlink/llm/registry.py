@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from kinlink.llm import decontaminate
+from kinlink.llm.decontaminate import op5_decontaminate
 from kinlink.llm.pii import op1_pii
+from kinlink.llm.secrets import op3_secrets
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii}
+    return {
+        "op1_pii": op1_pii,
+        "op3_secrets": op3_secrets,
+        "op5_decontaminate": op5_decontaminate,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": decontaminate.ORACLE}
