@@ -6,6 +6,7 @@ from kinlink.llm import decontaminate
 from kinlink.llm.decontaminate import op5_decontaminate
 from kinlink.llm.pii import op1_pii
 from kinlink.llm.secrets import op3_secrets
+from kinlink.llm.simhash import op7_simhash
 
 
 def queries() -> dict:
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op3_secrets": op3_secrets,
         "op5_decontaminate": op5_decontaminate,
+        "op7_simhash": op7_simhash,
     }
 
 
