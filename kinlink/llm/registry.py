@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinlink.llm import decontaminate
+from kinlink.llm import decontaminate, quality
 from kinlink.llm.decontaminate import op5_decontaminate
 from kinlink.llm.pii import op1_pii
+from kinlink.llm.quality import op2_quality
 from kinlink.llm.secrets import op3_secrets
 from kinlink.llm.simhash import op7_simhash
 
@@ -12,6 +13,7 @@ from kinlink.llm.simhash import op7_simhash
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
+        "op2_quality": op2_quality,
         "op3_secrets": op3_secrets,
         "op5_decontaminate": op5_decontaminate,
         "op7_simhash": op7_simhash,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE}
+    return {"op2_quality": quality.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
