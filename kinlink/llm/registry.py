@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinlink.llm import decontaminate, quality
 from kinlink.llm.decontaminate import op5_decontaminate
+from kinlink.llm.packing import op6_packing
 from kinlink.llm.pii import op1_pii
 from kinlink.llm.quality import op2_quality
 from kinlink.llm.secrets import op3_secrets
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_quality": op2_quality,
         "op3_secrets": op3_secrets,
         "op5_decontaminate": op5_decontaminate,
+        "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
     }
 
