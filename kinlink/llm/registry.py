@@ -10,6 +10,7 @@ from kinlink.llm.pii import op1_pii
 from kinlink.llm.quality import op2_quality
 from kinlink.llm.secrets import op3_secrets
 from kinlink.llm.simhash import op7_simhash
+from kinlink.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
+        "op9_toxicity": op9_toxicity,
         "op10_extract": op10_extract,
     }
 
