@@ -11,6 +11,7 @@ from kinlink.llm.quality import op2_quality
 from kinlink.llm.secrets import op3_secrets
 from kinlink.llm.simhash import op7_simhash
 from kinlink.llm.toxicity import op9_toxicity
+from kinlink.llm.warc import op4_warc
 
 
 def queries() -> dict:
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_quality": op2_quality,
         "op3_secrets": op3_secrets,
+        "op4_warc": op4_warc,
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
