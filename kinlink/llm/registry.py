@@ -5,6 +5,7 @@ from __future__ import annotations
 from kinlink.llm import decontaminate, quality
 from kinlink.llm.decontaminate import op5_decontaminate
 from kinlink.llm.extract import op10_extract
+from kinlink.llm.licenses import op8_licenses
 from kinlink.llm.packing import op6_packing
 from kinlink.llm.pii import op1_pii
 from kinlink.llm.quality import op2_quality
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
+        "op8_licenses": op8_licenses,
         "op9_toxicity": op9_toxicity,
         "op10_extract": op10_extract,
     }
