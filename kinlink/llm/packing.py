@@ -21,6 +21,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ class Encoder:
     of at most `kept` chunks. A letter or digit before a final point or comma ends a token as well.
     """
 
-    def __init__(self, path: str, end: int = 0, kept: int = 200_000) -> None:
+    def __init__(self, path: str, end: int = 0, kept: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,6 +78,12 @@ class Encoder:
         return b"".join([self.young[c] for c in chunks]) + self.end
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs: later tasks find its chunks known."""
+    return Encoder(path)
+
+
 def plan(histogram: dict[int, int], tokens: int = 2048, documents: int | None = None, attention: int | None = None, rule: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)) -> np.ndarray:
     """Placements (length, first rank, pieces a bin, first bin, offset), sorted by length and rank."""
     cap = np.array([tokens, documents or tokens, attention or tokens * tokens], float)
@@ -135,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: in
     """Pieces with their rank among those of the same length in their partition."""
 
     def rows(batches: Iterator[dict[str, list]]):
-        encoder, seen, part = Encoder(tokenizer), Counter(), TaskContext.get().partitionId()
+        encoder, seen, part = worker_encoder(tokenizer), Counter(), TaskContext.get().partitionId()
         for b in batches:
             out = {f.name: [] for f in PIECES}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
