@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import math
 import os
+import string
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,38 +37,55 @@ from kinlink.llm.common import map_rows, schema, staged
 
 
 class Encoder:
-    """Token ids of a text as packed little-endian uint32, by a public tokenizer file.
+    """Token ids of a text as packed little-endian uint32, by a public tokenizer file that lowers case.
 
     The tokenizer never joins across a space or a line end, so ids are kept by chunk, in two generations
-    of at most `kept` chunks. A letter or digit before a final point or comma ends a token as well.
+    of at most `kept` chunks. Between a letter or digit and the marks that end a chunk it splits as well,
+    and a chunk of ASCII letters has the ids of its lower-case form, so few chunks need to be encoded.
     """
 
-    def __init__(self, path: str, end: int = 0, kept: int = 400_000) -> None:
+    def __init__(self, path: str, end: int = 0, kept: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.kept = np.array([end], "<u4").tobytes(), kept
+        self.end, self.kept = array("I", [end]).tobytes(), kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, ...]:
+        """Pieces of chunk whose ids in a row are its ids."""
+        if "<|" in chunk:  # may be a special token
+            return (chunk,)
+        core = chunk.rstrip(string.punctuation)
+        tail = chunk[len(core) :]
+        if core.isascii():
+            core = core.lower()
+        return (core, tail) if tail and core and core[-1].isalnum() else (core + tail,)
+
     def _learn(self, chunks: set[str]) -> None:
-        parts: dict[str, tuple[str, ...]] = {}
+        young, old = self.young, self.old
+        cuts: dict[str, tuple[str, ...]] = {}
         missing = set()
         for c in chunks:
-            known = self.old.get(c)
+            known = old.get(c)
             if known is not None:
-                self.young[c] = known
+                young[c] = known
                 continue
-            cut = (c[:-1], c[-1]) if len(c) > 1 and c[-1] in ".," and c[-2].isalnum() else (c,)
-            parts[c] = cut
-            missing.update(p for p in cut if p not in self.young)
-        order = sorted(missing)
+            cut = cuts[c] = self.parts(c)
+            for p in cut:
+                if p not in young:
+                    known = old.get(p)
+                    if known is None:
+                        missing.add(p)
+                    else:
+                        young[p] = known
+        order = list(missing)
         for c, found in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False) if order else (), strict=True):
-            self.young[c] = np.array(found.ids, "<u4").tobytes()
-        for c, cut in parts.items():
-            if len(cut) > 1:
-                self.young[c] = b"".join(self.young[p] for p in cut)
+            young[c] = array("I", found.ids).tobytes()
+        for c, cut in cuts.items():
+            young[c] = b"".join([young[p] for p in cut])
 
     def encode(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").split(" ")
