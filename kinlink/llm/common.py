@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -44,6 +45,20 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable
     return df.mapInArrow(run, schema)
 
 
+def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of df whose key (long) may be in keys.key: a filter ahead of an exact join, without a shuffle of df.
+
+    The hashes of keys set bits of a bitmap of a fixed size, which is broadcast (bits / 8 bytes at most,
+    in rows of 4 KB). It lets more rows pass as keys grow; it never loses one.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    chunk, bit = F.bitmap_bucket_number(slot + 1), F.bitmap_bit_position(slot + 1)
+    marks = keys.groupBy(chunk.alias("__chunk")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, int(__bit div 8) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumns({"__chunk": chunk, "__bit": bit}).join(F.broadcast(marks), "__chunk")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0).select(*df.columns)
+
+
 def schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 

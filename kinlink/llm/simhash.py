@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import free_name, map_rows, schema, staged
+from kinlink.llm.common import free_name, likely_in, map_rows, schema, staged
 from kinlink.llm.components import components
 
 BITS, SEED = 64, 42
@@ -228,7 +228,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     def verify(edges):
         edges = staged(edges, "links")
         ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
-        texts = source.join(one.join(ends, "fp"), "id").select("fp", "text")
+        wanted = staged(one.join(ends, "fp"), "ends")
+        texts = likely_in(source.select("id", "text"), "id", wanted).join(wanted, "id").select("fp", "text")
         return similar(edges, staged(texts, "texts"), shingle, similarity)
 
     classes = link(prints, distance, bucket_rows, verify)
