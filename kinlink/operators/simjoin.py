@@ -21,7 +21,7 @@ def vocabulary(index_tokens: DataFrame, n_index: DataFrame, max_df: int | None =
 
 
 def count_of(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"))
+    return df.agg(F.count(F.lit(1)).alias("n"))
 
 
 def weighted(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def view_dots(pairs: DataFrame, tokens: DataFrame, entities: DataFrame) -> DataF
     own = tokens.join(entities.select("rid"), "rid", "left_semi")
     vocab = vocabulary(own, count_of(entities), None)
     x = tokens.join(vocab, "tok").select("rid", "view", "tok", "w")
-    stats = x.groupBy("rid").pivot("view", list(VIEWS)).agg(F.sum("w").alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("n"))
+    stats = x.groupBy("rid").pivot("view", list(VIEWS)).agg(F.sum("w").alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count(F.lit(1)).alias("n"))
     q, e = (x.select(F.col("rid").alias(f"{c}_rid"), "tok", "view", "w") for c in "qe")
     shared = pairs.select("q_rid", "e_rid").join(q, "q_rid").join(e.drop("w", "view"), ["e_rid", "tok"])
     dots = shared.groupBy("q_rid", "e_rid").pivot("view", list(VIEWS)).agg(F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum("w").alias("w"))

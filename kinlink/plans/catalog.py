@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinlink.operators import decide
+from kinlink.plans import fixtures, linkage_queries, table_queries, text_queries
+
+MODULES = (text_queries, table_queries, linkage_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """Names and addresses to tokens, cosine top-K candidates, each query's best entity."""
+    return decide.assign(fixtures.scores(spark, sf_dir), 0.2).select("q_rid", "e_rid", F.round("p", 6).alias("p"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    found: dict[str, Query] = {"flagship": flagship}
+    for m in MODULES:
+        found |= m.QUERIES
+    return found
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    found = {"flagship": fixtures.with_sql("SELECT q_rid, e_rid, round(p, 6) AS p FROM best WHERE p >= 0.2", "best")}
+    for m in MODULES:
+        found |= m.ORACLES
+    return found

@@ -69,9 +69,9 @@ def tokens(spark: SparkSession, sf_dir: str, with_addr: bool = True) -> DataFram
 
 
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates: q_rid, e_rid, bs_f, br_f, bs_n, br_n."""
+    """Candidates: q_rid, e_rid, bs_f, br_f, bs_n, br_n. Kept, as most queries use them more than once."""
     r = linkage_records(spark, sf_dir)
-    return simjoin.candidates(tokenize(r, True, True), tokenize(r, False, True), r.where("src = 1"), r.where("src <> 1"))
+    return simjoin.candidates(tokenize(r, True, True), tokenize(r, False, True), r.where("src = 1"), r.where("src <> 1")).cache()
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = linkage_records(spark, sf_dir)
-    return simjoin.neighbours(tokenize(r, True, False), r.where("src <> 1"))
+    return simjoin.neighbours(tokenize(r, True, False), r.where("src <> 1")).cache()
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.functions import textnorm as n
+from kinlink.functions.textnorm import words
 from kinlink.functions.translit import transliterate
 from kinlink.operators import decide as d
 from kinlink.operators import fine, graph, metrics, model, rates, simjoin, splits
@@ -15,7 +16,7 @@ from kinlink.operators.features import FEATURES, stage1_features
 from kinlink.operators.relational import dense_rid
 from kinlink.operators.tokens import tokenize
 from kinlink.operators.windows import query_context
-from kinlink.functions.textnorm import words
+from kinlink.sources.tables import TRUTH, read_tsv, settled, truth_pairs, write_lists
 
 CARRIED = ["n_tset", "n_ratio", "sk_ratio", "cos_name", "cos_addr", "cos_num", "a_tset", "bs_f", "br_f", "q_noaddr", "q_native", "num_first_eq", "legal_eq", "q_ncand"]
 CONTEXT = ["p", "q_gap", "q_max", "q_sum", "q_n10", "q_rank", "e_nwin_other", "e_psum", "e_rank", "e_pmax"]
@@ -40,7 +41,7 @@ def records(sources: dict[int, DataFrame]) -> DataFrame:
     out = tables[0]
     for x in tables[1:]:
         out = out.unionByName(x)
-    return dense_rid(normalise(out), ["src", "entity_id"])
+    return settled(dense_rid(normalise(out), ["src", "entity_id"]))
 
 
 def block(rec: DataFrame, k_full: int = 20, k_name: int = 10, raw: bool = True) -> DataFrame:
@@ -69,28 +70,29 @@ class Linker:
         """Second-stage rows: context, carried, fine and graph features of scored pairs."""
         key = ["q_rid", "e_rid"]
         x = query_context(scores)
-        return x.join(fine.fine_features(x, rec, self.word_rates, self.sig_rates), key).join(graph.graph_features(links, scores, x, rec), key)
+        fine_part = settled(fine.fine_features(x, rec, self.word_rates, self.sig_rates))
+        return settled(x.join(fine_part, key).join(settled(graph.graph_features(links, scores, x, rec)), key))
 
     def learn_rates(self, feats: DataFrame, rec: DataFrame, gt: DataFrame) -> None:
         close = splits.label(feats.where(F.col("cos_name") >= self.min_cos).select("q_rid", "e_rid"), gt)
         side = lambda s: rec.select(F.col("rid").alias(f"{s}_rid"), words(F.col("core")).alias(f"t{s}"), rates.first_numbers(F.col("nums")).alias(f"n{s}"), F.col("legal").alias(f"l{s}"), F.lower("country").alias(f"c{s}"))
         p = close.join(side("q"), "q_rid").join(side("e"), "e_rid")
-        self.word_rates = rates.extra_word_rates(p, least=self.least)
+        self.word_rates = settled(rates.extra_word_rates(p, least=self.least))
         f, c = rates.signatures(F.col("tq"), F.col("te"), F.col("nq"), F.col("ne"), F.col("lq"), F.col("le"), F.col("cq"))
-        self.sig_rates = rates.signature_rates(p.select("y", f.alias("fine"), c.alias("coarse")), least=self.least)
+        self.sig_rates = settled(rates.signature_rates(p.select("y", f.alias("fine"), c.alias("coarse")), least=self.least))
 
     def fit(self, rec: DataFrame, gt: DataFrame, percent: int = 20) -> dict:
         """Both models and the prior shift; returns what was measured on held-out entities."""
-        cand = block(rec)
-        held, held_q, train_q = splits.split_design(rec.where("src = 1"), cand, gt, percent)
-        feats = stage1_features(cand.join(train_q, "q_rid", "left_semi"), rec).cache()
+        cand = settled(block(rec))
+        held, held_q, train_q = map(settled, splits.split_design(rec.where("src = 1"), cand, gt, percent))
+        feats = settled(stage1_features(cand.join(train_q, "q_rid", "left_semi"), rec))
         self.model1 = model.train(splits.label(feats, gt), FEATURES, **self.stage1)
         self.learn_rates(feats, rec, gt)
-        links = simjoin.neighbours(tokenize(rec), rec.where("src <> 1")).cache()
-        scores = self.score1(cand.join(held_q, "q_rid", "left_semi"), rec).cache()
-        x = splits.label(self.context(scores, rec, links), gt).cache()
+        links = settled(simjoin.neighbours(tokenize(rec), rec.where("src <> 1")))
+        scores = settled(self.score1(cand.join(held_q, "q_rid", "left_semi"), rec))
+        x = settled(splits.label(self.context(scores, rec, links), gt))
         self.model2 = model.train(x, [*CONTEXT, *CARRIED, *fine.FINE, *graph.FEATURES], **self.stage2)
-        second = model.predict(self.model2, x, "p2").select("q_rid", "e_rid", F.col("p2").alias("p")).cache()
+        second = settled(model.predict(self.model2, x, "p2").select("q_rid", "e_rid", F.col("p2").alias("p")))
         found = {}
         truth = gt.join(held.withColumnRenamed("e_rid", "true_e"), "true_e", "left_semi")
         for r in (1.0, 0.7, 0.5, 0.35, 0.25):
@@ -102,18 +104,16 @@ class Linker:
 
     def link(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Decided and all scored pairs of rec."""
-        scores = self.score1(block(rec), rec)
-        links = simjoin.neighbours(tokenize(rec), rec.where("src <> 1"))
+        scores = settled(self.score1(settled(block(rec)), rec))
+        links = settled(simjoin.neighbours(tokenize(rec), rec.where("src <> 1")))
         blank = lambda new: self.score1(new.select("q_rid", "e_rid", F.lit(0.0).alias("bs_f"), F.lit(99).alias("br_f"), F.lit(0.0).alias("bs_n"), F.lit(99).alias("br_n")), rec)
-        scores = graph.augment(scores, links, blank).cache()
-        second = model.predict(self.model2, self.context(scores, rec, links), "p2").select("q_rid", "e_rid", d.odds_shift(F.col("p2"), self.shift).alias("p"))
+        scores = settled(graph.augment(scores, links, blank))
+        second = settled(model.predict(self.model2, self.context(scores, rec, links), "p2").select("q_rid", "e_rid", d.odds_shift(F.col("p2"), self.shift).alias("p")))
         return d.decide(second), second
 
 
 def main(spark: SparkSession, base: str, out: str) -> None:
     """Training on {base}/train_*, results for {base}/test_* in out."""
-    from kinlink.sources.tables import TRUTH, read_tsv, truth_pairs, write_lists
-
     of = lambda split: records({s: read_tsv(spark, f"{base}/{split}_source{s}.tsv") for s in (1, 2, 3)})
     rec = of("train")
     linker = Linker()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,21 @@ def cached(df_of, spark: SparkSession, base: str, name: str, **params) -> DataFr
     return spark.read.parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder that spark.checkpoint.dir names: later plans begin there.
+
+    Only where the session names none (local runs) a temporary folder is set.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="kinlink-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_config(spark: SparkSession, config: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
