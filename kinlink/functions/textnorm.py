@@ -68,7 +68,7 @@ def web_strip(text: Column) -> Column:
 
 def aka_parts(text: Column) -> Column:
     """The names that 'aka', 'dba' and the like part; [''] without any."""
-    parts = F.filter(F.transform(F.split(text, t.AKA), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, t.AKA), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
 
 
