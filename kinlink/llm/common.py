@@ -34,6 +34,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Python reads at once; lists of its strings take several times as much.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of Arrow batches to BATCH_BYTES, unless it is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow with small batches; what Arrow has kept is given back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: T.StructType) -> DataFrame:
     """mapInArrow over column lists: rows gets {column: values} a batch and yields the same for schema."""
     arrow = to_arrow_schema(schema)
@@ -42,7 +64,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable
         for out in rows({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import map_rows, schema
+from kinlink.llm.common import map_batches, map_rows, schema
 
 #: Upper to lower case, other characters than letters and digits to a space; bytes of 0x80 and over stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -155,7 +155,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
                 keep = [not hits(words(t), index)[0] for t in b.column(text_col).to_pylist()]
                 yield b if all(keep) else b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_batches(out, run, docs.schema)
     return out
 
 

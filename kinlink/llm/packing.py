@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from kinlink.llm.common import map_rows, schema, staged
+from kinlink.llm.common import map_batches, map_rows, schema, staged
 
 
 class Encoder:
@@ -44,7 +44,7 @@ class Encoder:
     and a chunk of ASCII letters has the ids of its lower-case form, so few chunks need to be encoded.
     """
 
-    def __init__(self, path: str, end: int = 0, kept: int = 800_000) -> None:
+    def __init__(self, path: str, end: int = 0, kept: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             columns += [pa.array(p[:, 3] + nth // p[:, 2]), pa.array(p[:, 4] + nth % p[:, 2] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=PACKED.names)
 
-    return ranked.mapInArrow(run, PACKED)
+    return map_batches(ranked, run, PACKED)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import map_rows, schema, with_text
+from kinlink.llm.common import map_batches, map_rows, schema, with_text
 
 Span = tuple[str, int, int]
 KINDS = ("assign", "access", "hex")
@@ -189,7 +189,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
             clean = [redact(t, least) for t in texts]
             yield b if clean == texts else with_text(b, text_col, clean, chars_col)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:

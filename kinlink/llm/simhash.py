@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import free_name, likely_in, map_rows, schema, staged
+from kinlink.llm.common import free_name, likely_in, map_batches, map_rows, schema, staged
 from kinlink.llm.components import components
 
 BITS, SEED = 64, 42
@@ -169,7 +169,7 @@ def links(distinct: DataFrame, distance: int = 2, bucket_rows: int = 32768) -> D
         if kept:
             yield batch(out(np.concatenate(kept)))
 
-    return dealt.mapInArrow(run, EDGES).distinct()
+    return map_batches(dealt, run, EDGES).distinct()
 
 
 def similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
