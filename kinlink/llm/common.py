@@ -45,10 +45,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """mapInArrow with small batches; what Arrow has kept is given back when a task ends."""
+#: What a Python worker keeps from one task to the next: one object at most, by key.
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """The object of key, made once in a worker, as long as its tasks ask for the same key."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, key: str | None = None) -> DataFrame:
+    """mapInArrow with small batches; what Arrow has kept is given back when a task ends.
+
+    A task drops what tasks of another key than its own have held in its worker.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _held:
+            _held.clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
 
@@ -56,7 +73,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(task, schema)
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: T.StructType) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: T.StructType, key: str | None = None) -> DataFrame:
     """mapInArrow over column lists: rows gets {column: values} a batch and yields the same for schema."""
     arrow = to_arrow_schema(schema)
 
@@ -64,7 +81,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable
         for out in rows({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return map_batches(df, run, schema)
+    return map_batches(df, run, schema, key)
 
 
 def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:

@@ -23,7 +23,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from kinlink.llm.common import map_batches, map_rows, schema, staged
+from kinlink.llm.common import held, map_batches, map_rows, schema, staged
 
 
 class Encoder:
@@ -44,7 +43,7 @@ class Encoder:
     and a chunk of ASCII letters has the ids of its lower-case form, so few chunks need to be encoded.
     """
 
-    def __init__(self, path: str, end: int = 0, kept: int = 300_000) -> None:
+    def __init__(self, path: str, end: int = 0, kept: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,7 +72,7 @@ class Encoder:
             if known is not None:
                 young[c] = known
                 continue
-            cut = cuts[c] = self.parts(c)
+            cut = cuts[c] = (c.lower() if c.isascii() else c,) if c.isalnum() else self.parts(c)
             for p in cut:
                 if p not in young:
                     known = old.get(p)
@@ -97,12 +96,6 @@ class Encoder:
         return b"".join([self.young[c] for c in chunks]) + self.end
 
 
-@lru_cache(maxsize=2)
-def worker_encoder(path: str) -> Encoder:
-    """One encoder for all tasks that a Python worker runs: later tasks find its chunks known."""
-    return Encoder(path)
-
-
 def plan(histogram: dict[int, int], tokens: int = 2048, documents: int | None = None, attention: int | None = None, rule: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)) -> np.ndarray:
     """Placements (length, first rank, pieces a bin, first bin, offset), sorted by length and rank."""
     cap = np.array([tokens, documents or tokens, attention or tokens * tokens], float)
@@ -158,10 +151,14 @@ PACKED = schema(doc_id=T.LongType(), piece=T.IntegerType(), start=T.LongType(),
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Pieces with their rank among those of the same length in their partition."""
+    """Pieces with their rank among those of the same length in their partition.
+
+    A Python worker keeps its encoder for all tasks, so later ones find its chunks known.
+    """
+    key = f"encoder {tokenizer}"
 
     def rows(batches: Iterator[dict[str, list]]):
-        encoder, seen, part = worker_encoder(tokenizer), Counter(), TaskContext.get().partitionId()
+        encoder, seen, part = held(key, lambda: Encoder(tokenizer)), Counter(), TaskContext.get().partitionId()
         for b in batches:
             out = {f.name: [] for f in PIECES}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
@@ -174,7 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: in
                     seen[length] += 1
             yield out
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), rows, PIECES)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), rows, PIECES, key)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, documents: int | None = None, attention: int | None = None, rule: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)) -> DataFrame:
