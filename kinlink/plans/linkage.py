@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from kinlink.operators.features import FEATURES, stage1_features
 from kinlink.operators.relational import dense_rid
 from kinlink.operators.tokens import tokenize
 from kinlink.operators.windows import query_context
-from kinlink.sources.tables import TRUTH, read_tsv, settled, truth_pairs, write_lists
+from kinlink.sources.tables import TRUTH, load_config, read_tsv, save_config, settled, truth_pairs, write_lists
 
 CARRIED = ["n_tset", "n_ratio", "sk_ratio", "cos_name", "cos_addr", "cos_num", "a_tset", "bs_f", "br_f", "q_noaddr", "q_native", "num_first_eq", "legal_eq", "q_ncand"]
 CONTEXT = ["p", "q_gap", "q_max", "q_sum", "q_n10", "q_rank", "e_nwin_other", "e_psum", "e_rank", "e_pmax"]
@@ -58,6 +59,9 @@ class Linker:
     min_cos: float = 0.6
     least: int = 20
     shift: float = 1.0
+    stage: int = 2
+    rule: str = "expected"
+    threshold: float = 0.5
     model1: object = None
     model2: object = None
     word_rates: DataFrame | None = None
@@ -100,16 +104,49 @@ class Linker:
             pred = d.decide(crowd).join(held, "e_rid", "left_semi")
             found[r] = metrics.macro_f05(pred, truth, held).first()[0]
         self.shift = max(found, key=lambda r: (found[r], r))
+        self.choose(scores.select("q_rid", "e_rid", "p"), second, truth, held)
         return found
 
+    def choose(self, first: DataFrame, second: DataFrame, truth: DataFrame, held: DataFrame) -> None:
+        """The stage and the rule (threshold or expected F0.5) that do best on the same held-out entities."""
+        best = lambda s: metrics.threshold_sweep(s, truth, held, 20, 95).agg(F.max(F.struct("f05", (-F.col("thr")).alias("t")))).first()[0]
+        one, two = best(first), best(second)
+        exact = metrics.macro_f05(d.decide(second).join(held, "e_rid", "left_semi"), truth, held).first()[0]
+        self.stage = 2 if max(two["f05"], exact) > one["f05"] else 1
+        self.threshold = -(two if self.stage == 2 else one)["t"]
+        self.rule = "expected" if self.stage == 2 and exact >= two["f05"] else "threshold"
+
+    def config(self) -> dict:
+        """The settings that a later run needs, for save_config()."""
+        return {"stage": self.stage, "rule": self.rule, "thr": self.threshold, "shift": self.shift, "prune": self.prune}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Models, rates and settings under path."""
+        self.model1.write().overwrite().save(f"{path}/model1")
+        self.model2.write().overwrite().save(f"{path}/model2")
+        self.word_rates.write.mode("overwrite").parquet(f"{path}/word_rates")
+        self.sig_rates.write.mode("overwrite").parquet(f"{path}/sig_rates")
+        save_config(spark, self.config(), f"{path}/config")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Linker:
+        c = load_config(spark, f"{path}/config")
+        return cls(
+            prune=c["prune"], shift=c["shift"], stage=c["stage"], rule=c["rule"], threshold=c["thr"],
+            model1=PipelineModel.load(f"{path}/model1"), model2=PipelineModel.load(f"{path}/model2"),
+            word_rates=spark.read.parquet(f"{path}/word_rates"), sig_rates=spark.read.parquet(f"{path}/sig_rates"),
+        )
+
     def link(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Decided and all scored pairs of rec."""
         scores = settled(self.score1(settled(block(rec)), rec))
         links = settled(simjoin.neighbours(tokenize(rec), rec.where("src <> 1")))
         blank = lambda new: self.score1(new.select("q_rid", "e_rid", F.lit(0.0).alias("bs_f"), F.lit(99).alias("br_f"), F.lit(0.0).alias("bs_n"), F.lit(99).alias("br_n")), rec)
+        if self.stage == 1:
+            return d.assign(scores, self.threshold), scores.select("q_rid", "e_rid", "p")
         scores = settled(graph.augment(scores, links, blank))
         second = settled(model.predict(self.model2, self.context(scores, rec, links), "p2").select("q_rid", "e_rid", d.odds_shift(F.col("p2"), self.shift).alias("p")))
-        return d.decide(second), second
+        return (d.decide(second) if self.rule == "expected" else d.assign(second, self.threshold)), second
 
 
 def main(spark: SparkSession, base: str, out: str) -> None:
@@ -118,6 +155,7 @@ def main(spark: SparkSession, base: str, out: str) -> None:
     rec = of("train")
     linker = Linker()
     linker.fit(rec, truth_pairs(read_tsv(spark, f"{base}/train_ground_truth.tsv", TRUTH), rec))
+    linker.save(spark, f"{out}/model")
     test = of("test")
     decided, scored = linker.link(test)
     write_lists(decided, test, "matched_entity_ids", f"{out}/matching_results.tsv")

@@ -94,3 +94,11 @@ def save_config(spark: SparkSession, config: dict, path: str) -> None:
 
 def load_config(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
+
+
+def backup(spark: SparkSession, path: str, tag: str) -> str:
+    """A copy of the table at path beside it, made once: a patch that runs again keeps the first one."""
+    copy = f"{path.rstrip('/')}_{tag}"
+    if not exists(spark, f"{copy}/_SUCCESS"):
+        spark.read.parquet(path).write.mode("overwrite").parquet(copy)
+    return copy

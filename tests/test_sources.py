@@ -82,6 +82,24 @@ def test_linker_end_to_end(spark, tmp_path):
     assert decided.count() == decided.select("q_rid").distinct().count()
     hits = decided.join(gt.withColumnRenamed("true_e", "e_rid"), ["q_rid", "e_rid"]).count()
     assert hits > 0.8 * decided.count() > n
+    linker.save(spark, str(tmp_path / "model"))
+    again = Linker.load(spark, str(tmp_path / "model"))
+    assert again.config() == linker.config() and again.word_rates.count() == linker.word_rates.count()
+    # one country made anew: the same texts give the same records, and all its scores are replaced
+    from kinlink.plans import repair
+
+    fresh, scores = repair.repair(rec, cand, scored, "us", lambda pairs, r: pairs.select("q_rid", "e_rid", F.lit(0.5).alias("p")))
+    assert fresh.exceptAll(rec).count() == 0 == rec.exceptAll(fresh).count()
+    assert scores.where("p <> 0.5").count() == 0
+
+
+def test_backup_is_made_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    copy = tables.backup(spark, path, "v2")
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert tables.backup(spark, path, "v2") == copy
+    assert spark.read.parquet(copy).count() == 3
 
 
 def test_stream(spark, tmp_path):
