@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,18 +84,29 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable
     return map_batches(df, run, schema, key)
 
 
-def likely_in(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """The rows of df whose key (long) may be in keys.key: a filter ahead of an exact join, without a shuffle of df.
+def _marked(df: DataFrame, key: str, keys: DataFrame, bits: int) -> tuple[DataFrame, Column]:
+    """df beside a bitmap of the hashes of keys, and whether its row's bit is set.
 
-    The hashes of keys set bits of a bitmap of a fixed size, which is broadcast (bits / 8 bytes at most,
-    in rows of 4 KB). It lets more rows pass as keys grow; it never loses one.
+    The bitmap has a fixed size and is broadcast (bits / 8 bytes at most, in rows of 4 KB).
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    chunk, bit = F.bitmap_bucket_number(slot + 1), F.bitmap_bit_position(slot + 1)
+    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    chunk, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
     marks = keys.groupBy(chunk.alias("__chunk")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
     byte = F.conv(F.hex(F.expr("substring(__bits, int(__bit div 8) + 1, 1)")), 16, 10).cast("int")
-    found = df.withColumns({"__chunk": chunk, "__bit": bit}).join(F.broadcast(marks), "__chunk")
-    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0).select(*df.columns)
+    isset = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0, F.lit(False))
+    return df.withColumns({"__chunk": chunk, "__bit": bit}).join(F.broadcast(marks), "__chunk", "left"), isset
+
+
+def semi(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """df joined with keys by key (long, unique in keys); rows that the bitmap rules out aren't shuffled."""
+    beside, isset = _marked(df, key, keys, bits)
+    return beside.where(isset).select(*df.columns).join(keys, key)
+
+
+def anti(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of df whose key isn't in keys; only rows that the bitmap can't rule out are shuffled."""
+    beside, isset = _marked(df, key, keys, bits)
+    return beside.where(~isset).select(*df.columns).unionByName(beside.where(isset).select(*df.columns).join(keys, key, "left_anti"))
 
 
 def schema(**fields: T.DataType) -> T.StructType:

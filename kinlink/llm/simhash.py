@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import free_name, likely_in, map_batches, map_rows, schema, staged
+from kinlink.llm.common import anti, free_name, map_batches, map_rows, schema, semi, staged
 from kinlink.llm.components import components
 
 BITS, SEED = 64, 42
@@ -79,19 +79,38 @@ def within(x: np.ndarray, first: int, distance: int) -> np.ndarray:
     return alive
 
 
-def forest(values: np.ndarray, first: int, distance: int) -> list[tuple[int, int]]:
-    """Links that span the components of values (distinct, equal in segment first) under within()."""
+def near_groups(values: np.ndarray, first: int, distance: int):
+    """Places of values by their second segment, and a function to the groups within the chain's budget of one."""
     cut = segments(distance)
     shift, width = cut[(first + 1) % len(cut)]
-    budget = 2 * distance // len(cut) if len(cut) > 1 else 0
-    second = (values >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    budget = 2 * distance // len(cut)
+    if len(cut) < 2 or budget != 1 or len(values) <= 64:  # one group: the chain itself bounds the second segment
+        return {0: np.arange(len(values))}, np.zeros(len(values), np.int64), [0]
+    second = ((values >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
     order = np.argsort(second, kind="stable")
     starts = np.flatnonzero(np.r_[True, second[order][1:] != second[order][:-1]])
     groups = dict(zip(second[order][starts].tolist(), np.split(order, starts[1:]), strict=True))
-    near = [0] + ([1 << b for b in range(width)] if budget >= 1 else [])
-    if budget > 1 or len(values) <= 64:  # one group: the chain itself bounds the second segment
-        groups, near = {0: order}, [0]
-        second = np.zeros(len(values), np.uint64)
+    return groups, second, [0, *(1 << b for b in range(width))]
+
+
+def linked(values: np.ndarray, first: int, distance: int, block: int = 1 << 20) -> np.ndarray:
+    """Places of the values that are within distance of another of a near group."""
+    groups, _, flips = near_groups(values, first, distance)
+    busy = np.zeros(len(values), bool)
+    for key, own in groups.items():
+        others = values[np.concatenate([groups[key ^ f] for f in flips if key ^ f in groups])]
+        for at in range(0, len(own), max(1, block // len(others))):
+            rows = own[at : at + max(1, block // len(others))]
+            close = np.bitwise_count(values[rows][:, None] ^ others[None, :]) <= distance
+            busy[rows] = close.sum(1) > 1  # each is close to itself
+    return np.flatnonzero(busy)
+
+
+def forest(values: np.ndarray, first: int, distance: int) -> list[tuple[int, int]]:
+    """Links that span the components of values (distinct, equal in segment first) under within()."""
+    places = linked(values, first, distance)
+    values = values[places]
+    groups, second, flips = near_groups(values, first, distance)
     out, todo = [], np.ones(len(values), bool)
     for root in range(len(values)):
         if not todo[root]:
@@ -100,7 +119,7 @@ def forest(values: np.ndarray, first: int, distance: int) -> list[tuple[int, int
         queue = [root]
         while queue:
             at = queue.pop()
-            for flip in near:
+            for flip in flips:
                 key = int(second[at]) ^ flip
                 group = groups.get(key)
                 if group is None:
@@ -114,7 +133,7 @@ def forest(values: np.ndarray, first: int, distance: int) -> list[tuple[int, int
                 if len(found):
                     todo[found] = False
                     queue += found.tolist()
-                    out += [(at, k) for k in found.tolist()]
+                    out += [(int(places[at]), int(places[k])) for k in found.tolist()]
     return out
 
 
@@ -191,20 +210,33 @@ def similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return map_rows(pairs.select("u", "v", "left", "right"), rows, EDGES)
 
 
-def link(prints: DataFrame, distance: int = 2, bucket_rows: int = 32768, verify=None) -> DataFrame:
+def link(prints: DataFrame, distance: int = 2, bucket_rows: int = 32768, verify=None, first: Column | None = None) -> DataFrame:
     """prints (staged: id, fp and any others) with class_id: the least id whose fingerprint can be reached by links.
 
-    verify, if given, takes the links and returns those that count.
+    verify, if given, takes the links and returns those that count. first, if given, is an expression whose
+    least value in each class becomes a column first.
     """
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
-    edges = links(distinct, distance, bucket_rows)
+    sums = [F.min("id").alias("class_id"), F.count("*").alias("n"), *([F.min(first).alias("first")] if first is not None else [])]
+    distinct = staged(prints.groupBy("fp").agg(*sums), "fingerprints")
+    found = ["class_id", *(["first"] if first is not None else [])]
+    edges = links(distinct.select("fp"), distance, bucket_rows)
     tree = components(verify(edges) if verify else edges)
     member = tree.select(F.col("node").alias("fp"), "root").unionByName(tree.select(F.col("root").alias("fp"), "root").distinct())
-    member = member.join(distinct, "fp")
-    ids = member.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = member.join(ids, "root").select("fp", "class_id")
-    classes = distinct.join(classes, "fp", "left").select("fp", F.coalesce("class_id", "least").alias("class_id"))
-    return prints.join(classes, "fp")
+    own = member.join(distinct, "fp").groupBy("root").agg(*[F.min(c).alias(f"of_{c}") for c in found])
+    classes = distinct.join(member.join(own, "root").drop("root"), "fp", "left").select("fp", "n", *[F.coalesce(f"of_{c}", c).alias(c) for c in found])
+    return attach(prints, staged(classes, "classes"))
+
+
+def attach(prints: DataFrame, classes: DataFrame, share: int = 1000) -> DataFrame:
+    """prints with the columns of classes, by fp; classes.n counts the rows of each.
+
+    Fingerprints with over 1/share of all rows, of which there are fewer than share, go by a broadcast, so
+    their rows stay where they are; the others are shuffled.
+    """
+    limit = (classes.agg(F.sum("n")).first()[0] or 0) // share
+    hot, cold = classes.where(F.col("n") > limit), classes.where(F.col("n") <= limit)
+    there = prints.join(F.broadcast(hot.drop("n")), "fp")
+    return there.unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold.drop("n"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, bucket_rows: int = 32768) -> DataFrame:
@@ -213,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return link(staged(fingerprints(source, words=words), "simhash"), distance, bucket_rows)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 7, shingle: int = 5, similarity: float = 0.8, bucket_rows: int = 32768) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 10, shingle: int = 5, similarity: float = 0.8, bucket_rows: int = 32768) -> DataFrame:
     """docs without all but the first row (by id, nulls last, then place) of each near-duplicate class.
 
     A link needs a Hamming distance of at most `distance` and a Jaccard similarity of `shingle`-word
@@ -229,13 +261,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         edges = staged(edges, "links")
         ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
         wanted = staged(one.join(ends, "fp"), "ends")
-        texts = likely_in(source.select("id", "text"), "id", wanted).join(wanted, "id").select("fp", "text")
+        texts = semi(source.select("id", "text"), "id", wanted).select("fp", "text")
         return similar(edges, staged(texts, "texts"), shingle, similarity)
 
-    classes = link(prints, distance, bucket_rows, verify)
-    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "id")).alias("f"), F.count("*").alias("n"))
-    drop = classes.join(first.where("n > 1"), "class_id").where("id <> f.id").select(F.col("id").alias(row))
-    return marked.join(drop, row, "left_anti").select(*docs.columns)
+    order = F.struct(F.col("doc").isNull().alias("no"), "doc", "id")
+    classes = link(prints, distance, bucket_rows, verify, order)
+    drop = staged(classes.where("id <> first.id").select(F.col("id").alias(row)), "duplicates")
+    return anti(marked, row, drop).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
