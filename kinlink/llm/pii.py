@@ -33,7 +33,7 @@ ORDER = {k: n for n, k in enumerate(KINDS + EXTRA_KINDS)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_QUADS = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -65,8 +65,10 @@ def _emails(text: str) -> Iterator[Span]:
 
 def _ips(text: str) -> Iterator[Span]:
     """A chain of numbers and dots is taken four numbers at a time."""
-    for chain in _QUADS.finditer(text):
+    for chain in _CHAIN.finditer(text):
         parts = chain[0].split(".")
+        if len(parts) < 4:
+            continue
         start = chain.start()
         for n in range(0, len(parts) - 3, 4):
             four = parts[n : n + 4]
@@ -219,7 +221,8 @@ def _example(rng: random.Random) -> tuple[str, Span | None, int]:
         item = iban(label)
     cue = rng.choice(sorted(CUES[kind] if label else AGAINST)) if rng.random() < (0.95 if kind in ("phone", "ssn") else 0.6) else rng.choice(_FILL)
     fill = lambda n: " ".join(rng.choice(_FILL) for _ in range(n))
-    head = f"{fill(rng.randint(1, 8))} {cue}{rng.choice((' ', ': ', ' is ' if label else ' no ', ' '))}"
+    between = " ".join(["", *(rng.choice([*_FILL, "me", "him", "number", "no", "my"]) for _ in range(rng.choice((0, 0, 1, 2))))])
+    head = f"{fill(rng.randint(1, 8))} {cue}{between}{rng.choice((' ', ': ', ' is ' if label else ' no ', ' '))}"
     plain = kind == "phone" and cue in _FILL
     return f"{head}{item} {fill(rng.randint(1, 6))}", (kind, len(head), len(head) + len(item)), int(label and not plain)
 
