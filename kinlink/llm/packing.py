@@ -150,15 +150,15 @@ PIECES = schema(doc_id=T.LongType(), piece=T.IntegerType(), start=T.LongType(),
 PACKED = schema(doc_id=T.LongType(), piece=T.IntegerType(), start=T.LongType(), length=T.LongType(), ids_crc32=T.LongType(), sequence_id=T.LongType(), offset=T.LongType())
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, kept: int) -> DataFrame:
     """Pieces with their rank among those of the same length in their partition.
 
     A Python worker keeps its encoder for all tasks, so later ones find its chunks known.
     """
-    key = f"encoder {tokenizer}"
+    key = f"encoder {kept} {tokenizer}"
 
     def rows(batches: Iterator[dict[str, list]]):
-        encoder, seen, part = held(key, lambda: Encoder(tokenizer)), Counter(), TaskContext.get().partitionId()
+        encoder, seen, part = held(key, lambda: Encoder(tokenizer, kept=kept)), Counter(), TaskContext.get().partitionId()
         for b in batches:
             out = {f.name: [] for f in PIECES}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
@@ -174,10 +174,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: in
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), rows, PIECES, key)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, documents: int | None = None, attention: int | None = None, rule: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)) -> DataFrame:
-    """The pieces of docs with the sequence and the offset that each has."""
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 2048, documents: int | None = None, attention: int | None = None, rule: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), kept: int = 800_000) -> DataFrame:
+    """The pieces of docs with the sequence and the offset that each has.
+
+    kept bounds the chunks whose ids a worker remembers (about 250 bytes each, in two generations).
+    """
     size = min(tokens, math.isqrt(attention or tokens * tokens))
-    cut = staged(pieces(docs, tokenizer, id_col, text_col, size), "pieces")
+    cut = staged(pieces(docs, tokenizer, id_col, text_col, size, kept), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
     placed = plan(histogram, tokens, documents, attention, rule, weights)
