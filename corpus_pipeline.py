@@ -45,7 +45,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept=200_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept=100_000)
 
 
 STAGES = [

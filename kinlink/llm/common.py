@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -57,8 +58,16 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library hold but don't use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc
+        trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, key: str | None = None) -> DataFrame:
-    """mapInArrow with small batches; what Arrow has kept is given back when a task ends.
+    """mapInArrow with small batches; memory is given back when a task ends.
 
     A task drops what tasks of another key than its own have held in its worker.
     """
@@ -67,7 +76,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         if key not in _held:
             _held.clear()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(task, schema)
