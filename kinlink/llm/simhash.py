@@ -191,39 +191,95 @@ def links(distinct: DataFrame, distance: int = 2, bucket_rows: int = 32768) -> D
     return map_batches(dealt, run, EDGES).distinct()
 
 
-def similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges whose two texts (fp, text: one for each fingerprint) have a Jaccard similarity of word shingles that reaches similarity."""
-    def shingles(text):
-        w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct word shingles of text, as sorted 64-bit hashes."""
+    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    n = max(1, len(w) - words + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(n)), np.uint64, n))
+
+
+def alike(fps: np.ndarray, texts: list[str | None], distance: int, words: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the classes of texts; a text is reached only by a link that both checks have passed."""
+    sets = [shingles(t, words) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    names, places = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(places, np.cumsum(sizes)[:-1])
+    mark, todo, left, out = np.zeros(len(names), bool), np.ones(len(sets), bool), np.arange(len(sets)), []
+    for root in range(len(sets)):
+        queue = [root] if todo[root] else []
+        todo[root] = False
+        while queue:
+            at = queue.pop()
+            left = left[todo[left]]
+            near = left[np.bitwise_count(fps[left] ^ fps[at]) <= distance]
+            near = near[np.minimum(sizes[near], sizes[at]) >= similarity * np.maximum(sizes[near], sizes[at])]
+            if not len(near):
+                continue
+            mark[sets[at]] = True
+            common = np.array([np.count_nonzero(mark[sets[k]]) for k in near])
+            mark[sets[at]] = False
+            found = near[common >= similarity * (sizes[near] + sizes[at] - common)]
+            todo[found] = False
+            queue += found.tolist()
+            out += [(at, k) for k in found.tolist()]
+    return out
+
+
+def similar(texts: DataFrame, distance: int, words: int, similarity: float, block_rows: int = 128, blocks: int = 24, block_chars: int = 8 << 20) -> DataFrame:
+    """Spanning links (u, v) between the nodes of texts (staged: g, node, fp, text) whose fingerprints and shingles are near.
+
+    Nodes of one g are compared in one place. A group of over two blocks of block_rows is cut into blocks,
+    up to `blocks` of them, and into more if a block would hold over block_chars characters or 64 times
+    block_rows; all pairs of blocks are taken.
+    """
+    n, chars = F.count("*"), F.sum(F.coalesce(F.length("text"), F.lit(0)))
+    cut = F.greatest(F.least(F.ceil(n / block_rows), F.lit(blocks)), F.ceil(n / (64 * block_rows)), F.ceil(chars / block_chars))
+    large = staged(texts.groupBy("g").agg(cut.cast("int").alias("blocks"), n.alias("n"), chars.alias("chars")).where((F.col("n") > 2 * block_rows) | (F.col("chars") > 2 * block_chars)).select("g", "blocks"), "groups")
+    own, other = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    dealt = texts.join(large, "g", "left").select("g", "node", "fp", "text", "blocks", own.alias("own"), other.alias("other")).where("own <> other or coalesce(blocks, 1) = 1")
+    dealt = dealt.select("g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp", "text")
+    dealt = dealt.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []  # the group that the last batch left open
+
+        def links() -> list[tuple[int, int]]:
+            nodes, fps = (np.concatenate([b.column(n).to_numpy() for b in kept]) for n in ("node", "fp"))
+            if len(nodes) < 2:
+                return []
+            return [(nodes[x], nodes[y]) for x, y in alike(fps.view(np.uint64), [t for b in kept for t in b.column("text").to_pylist()], distance, words, similarity)]
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    def rows(batches):
         for b in batches:
-            keep = []
-            for left, right in zip(b["left"], b["right"], strict=True):
-                x, y = shingles(left), shingles(right)
-                common = len(x & y)
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield {n: [v for v, k in zip(b[n], keep, strict=True) if k] for n in ("u", "v")}
+            keys, found = np.column_stack([b.column(n).to_numpy().astype(np.int64) for n in ("g", "a", "b")]), []
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for start, end in zip(np.r_[0, edge], np.r_[edge, len(keys)], strict=True):
+                if end > start and key != (now := tuple(keys[start].tolist())):
+                    found += links() if kept else []
+                    key, kept = now, []
+                kept.append(b.slice(start, end - start))
+            yield batch(found)
+        if kept:
+            yield batch(links())
 
-    pairs = edges.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("right")), "v")
-    return map_rows(pairs.select("u", "v", "left", "right"), rows, EDGES)
+    return map_batches(dealt, run, EDGES)
 
 
-def link(prints: DataFrame, distance: int = 2, bucket_rows: int = 32768, verify=None, first: Column | None = None) -> DataFrame:
-    """prints (staged: id, fp and any others) with class_id: the least id whose fingerprint can be reached by links.
+def grouped(edges: DataFrame, name: str) -> DataFrame:
+    """(name, root) for every node of an edge, the roots as well."""
+    tree = components(edges)
+    return tree.select(F.col("node").alias(name), "root").unionByName(tree.select(F.col("root").alias(name), "root").distinct())
 
-    verify, if given, takes the links and returns those that count. first, if given, is an expression whose
-    least value in each class becomes a column first.
-    """
-    sums = [F.min("id").alias("class_id"), F.count("*").alias("n"), *([F.min(first).alias("first")] if first is not None else [])]
-    distinct = staged(prints.groupBy("fp").agg(*sums), "fingerprints")
-    found = ["class_id", *(["first"] if first is not None else [])]
-    edges = links(distinct.select("fp"), distance, bucket_rows)
-    tree = components(verify(edges) if verify else edges)
-    member = tree.select(F.col("node").alias("fp"), "root").unionByName(tree.select(F.col("root").alias("fp"), "root").distinct())
-    own = member.join(distinct, "fp").groupBy("root").agg(*[F.min(c).alias(f"of_{c}") for c in found])
-    classes = distinct.join(member.join(own, "root").drop("root"), "fp", "left").select("fp", "n", *[F.coalesce(f"of_{c}", c).alias(c) for c in found])
+
+def link(prints: DataFrame, distance: int = 2, bucket_rows: int = 32768) -> DataFrame:
+    """prints (staged: id, fp and any others) with class_id: the least id whose fingerprint can be reached by links."""
+    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "fingerprints")
+    member = grouped(links(distinct.select("fp"), distance, bucket_rows), "fp")
+    own = member.join(distinct, "fp").groupBy("root").agg(F.min("class_id").alias("of_class"))
+    classes = distinct.join(member.join(own, "root").drop("root"), "fp", "left").select("fp", "n", F.coalesce("of_class", "class_id").alias("class_id"))
     return attach(prints, staged(classes, "classes"))
 
 
@@ -249,23 +305,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """docs without all but the first row (by id, nulls last, then place) of each near-duplicate class.
 
     A link needs a Hamming distance of at most `distance` and a Jaccard similarity of `shingle`-word
-    shingles of at least `similarity`. Equal texts are always one class.
+    shingles of at least `similarity`; classes are the components of all such links. Equal texts are
+    always one class.
     """
     row = free_name(docs, "row")
     marked = docs.withColumn(row, F.monotonically_increasing_id())
     source = marked.select(F.col(row).alias("id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     prints = staged(fingerprints(source, words=words), "simhash")
-    one = prints.groupBy("fp").agg(F.min("id").alias("id"))
-
-    def verify(edges):
-        edges = staged(edges, "links")
-        ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
-        wanted = staged(one.join(ends, "fp"), "ends")
-        texts = semi(source.select("id", "text"), "id", wanted).select("fp", "text")
-        return similar(edges, staged(texts, "texts"), shingle, similarity)
-
     order = F.struct(F.col("doc").isNull().alias("no"), "doc", "id")
-    classes = link(prints, distance, bucket_rows, verify, order)
+    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min(order).alias("first"), F.count("*").alias("n")), "nodes")
+    # every link lies inside a component of the Hamming links, which a forest gives exactly
+    member = grouped(links(nodes.select("fp"), distance, bucket_rows), "fp").withColumnRenamed("root", "g")
+    wanted = staged(nodes.join(member, "fp").select(F.col("node").alias("id"), "fp", "g"), "ends")
+    texts = semi(source.select("id", "text"), "id", wanted).select("g", F.col("id").alias("node"), "fp", "text")
+    alike = grouped(similar(staged(texts, "texts"), distance, shingle, similarity), "node")
+    own = alike.join(nodes, "node").groupBy("root").agg(F.min("first").alias("of_first"))
+    found = nodes.join(alike.join(own, "root").drop("root"), "node", "left").select("fp", "n", F.coalesce("of_first", "first").alias("first"))
+    classes = attach(prints, staged(found, "classes"))
     drop = staged(classes.where("id <> first.id").select(F.col("id").alias(row)), "duplicates")
     return anti(marked, row, drop).select(*docs.columns)
 

@@ -105,3 +105,48 @@ def test_keep_one(spark, make_docs, odd, empty):
     kept = s.keep_one(odd).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "None"]
     assert s.keep_one(empty).count() == 0
+
+
+def jaccard(x, y, words=5):
+    x, y = ({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
+def brute_kept(texts, distance=10, similarity=0.8):
+    """Ids (places) that stay if every pair is compared."""
+    fps, root = [s.fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (fps[i] ^ fps[j]).bit_count() <= distance and jaccard(texts[i], texts[j]) >= similarity:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return sorted(set(root))
+
+
+def variants(n, seed=7, words=200, edits=6):
+    """n texts that differ from one text by up to `edits` words each."""
+    rng = random.Random(seed)
+    base, out = [f"w{rng.randrange(5000)}" for _ in range(words)], []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randint(1, edits)):
+            w[at] = f"v{k}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_keep_one_of_variants(spark, make_docs):
+    """A link that fails the similarity check hides no other link."""
+    texts = variants(300)
+    kept = sorted(r.doc_id for r in s.keep_one(make_docs(list(enumerate(texts)))).collect())
+    assert kept == brute_kept(texts)
+
+
+def test_similar_in_blocks(spark):
+    """Groups that are cut into blocks have the same classes as whole ones."""
+    texts = variants(80)
+    rows = [(7, i, fp, t) for i, (t, fp) in enumerate(zip(texts, np.array([s.fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist(), strict=True))]
+    df = spark.createDataFrame(rows, "g long, node long, fp long, text string")
+    for sizes in ((128, 24, 8 << 20), (8, 24, 8 << 20), (8, 3, 8 << 20), (128, 24, 5000)):
+        found = {r.node: r.root for r in s.grouped(s.similar(df, 10, 5, 0.8, *sizes), "node").collect()}
+        assert sorted({found.get(i, i) for i in range(80)}) == brute_kept(texts)
