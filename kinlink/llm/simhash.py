@@ -283,16 +283,17 @@ def link(prints: DataFrame, distance: int = 2, bucket_rows: int = 32768) -> Data
     return attach(prints, staged(classes, "classes"))
 
 
-def attach(prints: DataFrame, classes: DataFrame, share: int = 1000) -> DataFrame:
-    """prints with the columns of classes, by fp; classes.n counts the rows of each.
+def attach(prints: DataFrame, classes: DataFrame, by: str | list[str] = "fp", share: int = 1000) -> DataFrame:
+    """prints with the columns of classes, by the columns `by`; classes.n counts the rows of each.
 
-    Fingerprints with over 1/share of all rows, of which there are fewer than share, go by a broadcast, so
-    their rows stay where they are; the others are shuffled.
+    Keys with over 1/share of all rows, of which there are fewer than share, go by a broadcast, so their
+    rows stay where they are; the others are shuffled.
     """
+    by = [by] if isinstance(by, str) else by
     limit = (classes.agg(F.sum("n")).first()[0] or 0) // share
     hot, cold = classes.where(F.col("n") > limit), classes.where(F.col("n") <= limit)
-    there = prints.join(F.broadcast(hot.drop("n")), "fp")
-    return there.unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold.drop("n"), "fp"))
+    there = prints.join(F.broadcast(hot.drop("n")), by)
+    return there.unionByName(prints.join(F.broadcast(hot.select(*by)), by, "left_anti").join(cold.drop("n"), by))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, bucket_rows: int = 32768) -> DataFrame:
@@ -313,15 +314,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     source = marked.select(F.col(row).alias("id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     prints = staged(fingerprints(source, words=words), "simhash")
     order = F.struct(F.col("doc").isNull().alias("no"), "doc", "id")
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min(order).alias("first"), F.count("*").alias("n")), "nodes")
+    # a fingerprint says nothing of texts that share it: each text is a node of its own, at distance 0 of the others
+    nodes = staged(prints.groupBy("fp", "body").agg(F.min("id").alias("node"), F.min(order).alias("first"), F.count("*").alias("n")), "nodes")
     # every link lies inside a component of the Hamming links, which a forest gives exactly
-    member = grouped(links(nodes.select("fp"), distance, bucket_rows), "fp").withColumnRenamed("root", "g")
+    distinct = staged(nodes.groupBy("fp").agg(F.count("*").alias("texts")), "fingerprints")
+    shared = distinct.where("texts > 1").select("fp", F.col("fp").alias("root"))
+    member = grouped(links(distinct.select("fp"), distance, bucket_rows), "fp").unionByName(shared).groupBy("fp").agg(F.min("root").alias("g"))
     wanted = staged(nodes.join(member, "fp").select(F.col("node").alias("id"), "fp", "g"), "ends")
     texts = semi(source.select("id", "text"), "id", wanted).select("g", F.col("id").alias("node"), "fp", "text")
     alike = grouped(similar(staged(texts, "texts"), distance, shingle, similarity), "node")
     own = alike.join(nodes, "node").groupBy("root").agg(F.min("first").alias("of_first"))
-    found = nodes.join(alike.join(own, "root").drop("root"), "node", "left").select("fp", "n", F.coalesce("of_first", "first").alias("first"))
-    classes = attach(prints, staged(found, "classes"))
+    found = nodes.join(alike.join(own, "root").drop("root"), "node", "left").select("fp", "body", "n", F.coalesce("of_first", "first").alias("first"))
+    classes = attach(prints, staged(found, "classes"), ["fp", "body"])
     drop = staged(classes.where("id <> first.id").select(F.col("id").alias(row)), "duplicates")
     return anti(marked, row, drop).select(*docs.columns)
 

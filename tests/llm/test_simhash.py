@@ -150,3 +150,20 @@ def test_similar_in_blocks(spark):
     for sizes in ((128, 24, 8 << 20), (8, 24, 8 << 20), (8, 3, 8 << 20), (128, 24, 5000)):
         found = {r.node: r.root for r in s.grouped(s.similar(df, 10, 5, 0.8, *sizes), "node").collect()}
         assert sorted({found.get(i, i) for i in range(80)}) == brute_kept(texts)
+
+
+def repeated(n, words=2000, share=0.45, seed=11):
+    """n texts of one fingerprint: a phrase makes up `share` of the words, the rest differs."""
+    rng = random.Random(seed)
+    phrase = ["alpha", "beta", "gamma"] * int(words * share / 3)
+    return [" ".join(phrase + [f"x{rng.getrandbits(40):x}" for _ in range(words - len(phrase))]) for _ in range(n)]
+
+
+def test_keep_one_checks_texts_of_one_fingerprint(spark, make_docs):
+    """An equal fingerprint alone makes no duplicate; equal texts and near texts of it do."""
+    texts = repeated(4)
+    assert len({s.fingerprint(t) for t in texts}) == 1
+    near = texts[2] + " more"
+    assert s.fingerprint(near) == s.fingerprint(texts[2])
+    docs = make_docs([*enumerate(texts), (4, texts[1]), (5, near)])
+    assert sorted(r.doc_id for r in s.keep_one(docs).collect()) == [0, 1, 2, 3]
