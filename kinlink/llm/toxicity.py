@@ -3,12 +3,16 @@
 The lexicon is learned from labelled rows: words, and beginnings of words that go on in several ways,
 which occur almost only in toxic documents. It is held as a trie. A word of a document is looked up by
 walking the trie with the Levenshtein automaton of the word, simulated on bit vectors, so misspelled
-terms are found too. Around each hit a window tells quotation (quotes, reporting words) from abuse
-(address). A logistic model of the weighted hits, fitted on labelled rows that the lexicon hasn't seen,
+terms are found too; two neighbouring letters in the wrong order are one edit. A word with digits or
+signs between its letters is looked up with the letters that they stand for. Around each hit a window tells
+quotation (quotes, reporting words) from abuse (address); quotation marks are paired over the whole line. A logistic model of the weighted hits, fitted on labelled rows that the lexicon hasn't seen,
 gives the score.
 
-At most `train_rows` labelled rows are used, those of the least hash; that bound is a parameter. All
-rows are scored, whole.
+At most `train_rows` labelled rows are used, those of the least hash; that bound is a parameter. So are the
+size of the lexicon (`lexicon_size`, the entries in most toxic documents), the lengths of beginnings
+(`start_sizes`), the least letters of a term that is looked up with errors (`Lexicon.least`) and the number
+of errors. How much a quotation, a reporting word and an address change a hit's weight is set by `CONTEXT`.
+All rows are scored, whole.
 
 Edge cases: a null text is an empty one and gets the score of a text without hits; so does every text if
 no labelled row is toxic. Rows with a null id are scored and never trained on. Labels that repeat an id
@@ -18,6 +22,7 @@ count once, as toxic if any says so. Repeated rows get repeated results.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,13 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import map_rows, schema
+from kinlink.llm.common import map_rows, schema, staged
 
 WORD = re.compile(r"[^\W\d_]+")
+#: A word with digits or signs between its letters, and the letters that they stand for (fixed values).
+DISGUISED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[0-9@$!*|+]{1,2}[^\W\d_]+)+(?![^\W_])")
+STANDS_FOR = str.maketrans("0134578@$!|+", "oieastbasilt")
+#: What a hit's weight changes by if it is quoted, near a reporting word, near an address.
+CONTEXT = (-0.6, -0.3, 0.3)
 #: Words that report what others said, and words that address someone (fixed values).
 REPORTING = frozenset("said says called quoted quote wrote writes term word sagte schrieb genannt dit appelé écrit dijo llamó escribió palabra wort mot".split())
 ADDRESS = frozenset("you your youre tu toi vous du dich dein ihr usted tú eres".split())
-_OPEN, _CLOSE = "\"“«„", "\"”»“"
+_MARK = re.compile(r"[\n\"“”„«»]")
+#: Closing marks and the marks that they may close (fixed values); “ closes „ and opens otherwise.
+_CLOSES = {"”": "“", "»": "«", "“": "„"}
 
 
 class Trie:
@@ -53,10 +65,11 @@ class Trie:
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         start = tuple((1 << (e + 1)) - 1 & full for e in range(errors + 1))
+        none = (0,) * (errors + 1)
         best: tuple[int, str] | None = None
-        stack = [(self.root, start)]
+        stack = [(self.root, start, none, "")]  # node, state, the state a letter before, that letter
         while stack:
-            node, state = stack.pop()
+            node, state, before, last = stack.pop()
             for c, child in node.items():
                 if c == "":
                     for e, bits in enumerate(state):
@@ -65,17 +78,18 @@ class Trie:
                             break
                     continue
                 hit = masks.get(c, 0)
+                swapped = hit & masks.get(last, 0) >> 1  # the word has c and then the letter before
                 new, below = [], 0
                 for e, bits in enumerate(state):
                     now = (bits & hit) << 1
                     if e:
-                        # a letter too many in the term, another letter, a letter of the word left out
-                        now |= state[e - 1] | state[e - 1] << 1 | below << 1
+                        # a letter too many in the term, another letter, a letter of the word left out, two letters swapped
+                        now |= state[e - 1] | state[e - 1] << 1 | below << 1 | (before[e - 1] & swapped) << 2
                     now &= full
                     new.append(now)
                     below = now
                 if new[-1]:
-                    stack.append((child, tuple(new)))
+                    stack.append((child, tuple(new), state, c))
         return (best[1], best[0]) if best else None
 
 
@@ -104,6 +118,7 @@ class Lexicon:
             h = len(t) // parts
             self.heads.setdefault(h, set()).add(t[:h])
             self.tails.setdefault(h, set()).add(t[-h:])
+        self.letters = {"".join(sorted(t)) for t in long}  # of a term with two letters swapped neither part may be unchanged
         self.sizes = (min(map(len, long), default=0) - self.errors, max(map(len, long), default=0) + self.errors)
 
     def __getstate__(self) -> dict:
@@ -120,7 +135,7 @@ class Lexicon:
             if word[:n] in self.start_set:
                 return "start", word[:n]
         if self.sizes[0] <= len(word) <= self.sizes[1] and (
-            self.errors > 1 or any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())
+            self.errors > 1 or any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items()) or "".join(sorted(word)) in self.letters
         ):
             near = self.trie.walk(word, self.errors)
             if near:
@@ -141,41 +156,71 @@ class Lexicon:
         return out
 
 
-def quoted(line: str, a: int, b: int) -> bool:
-    """Whether line[a:b] stands in quotation marks."""
-    before = line[:a]
-    plain = before.count('"') % 2 == 1 and '"' in line[b:]
-    return plain or any(before.rfind(o) > before.rfind(c) and c in line[b:] for o, c in (("“", "”"), ("«", "»"), ("„", "“")))
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks of one line, whatever its length, merged and in order; one pass."""
+    opened: dict[str, int] = {}
+    found = []
+    for m in _MARK.finditer(text):
+        mark, at = m[0], m.start()
+        if mark == "\n":
+            opened.clear()
+        elif mark == '"':
+            if '"' in opened:
+                found.append((opened.pop('"'), at))
+            else:
+                opened['"'] = at
+        elif _CLOSES.get(mark) in opened:
+            found.append((opened.pop(_CLOSES[mark]), at))
+        elif mark in "“„«":
+            opened.setdefault(mark, at)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def quoted(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether place at lies in one of quotations()."""
+    n = bisect_right(spans, (at,)) - 1
+    return n >= 0 and at < spans[n][1]
 
 
 FEATURES = ("exact", "near", "start", "quoted", "kinds", "density")
 
 
+def plain_form(word: str) -> str:
+    """word with the letters that its digits and signs stand for; an asterisk stays, as any letter."""
+    return word.translate(STANDS_FOR)
+
+
 def features(text: str | None, lexicon: Lexicon, window: int = 5) -> list[float]:
     """Weighted hits of text; all zero without any."""
     low = (text or "").lower()
     words = WORD.findall(low)
     hits = lexicon.hits(set(words)) if words else {}
-    if not hits:
-        return [0.0] * len(FEATURES)
-    weight, in_quotes, total = Counter(), 0.0, 0
-    at = 0
-    for m in WORD.finditer(low):
-        found = hits.get(m[0])
+    hidden = []
+    for m in DISGUISED.finditer(low):
+        found = lexicon.hits({plain_form(m[0])})
         if found:
-            near = words[max(0, at - window) : at]
-            begin = low.rfind("\n", 0, m.start()) + 1
-            end = low.find("\n", m.end())
-            end = len(low) if end < 0 else end
-            # a line of any length: only what surrounds the hit is searched for quotes
-            lo, hi = max(begin, m.start() - 400), min(end, m.end() + 400)
-            quote = quoted(low[lo:hi], m.start() - lo, m.end() - lo)
-            w = 1.0 - 0.6 * quote - 0.3 * (not REPORTING.isdisjoint(near)) + 0.3 * (not ADDRESS.isdisjoint(near))
-            weight[found[0]] += w
-            in_quotes += quote
-            total += 1
-        at += 1
-    kinds = len({entry for _, entry in hits.values()})
+            hidden.append((m.start(), ("near", next(iter(found.values()))[1])))
+    if not hits and not hidden:
+        return [0.0] * len(FEATURES)
+    places = [(m.start(), n, hits[m[0]]) for n, m in enumerate(WORD.finditer(low)) if m[0] in hits]
+    if hidden:
+        starts = [m.start() for m in WORD.finditer(low)]
+        places += [(at, bisect_left(starts, at), found) for at, found in hidden]
+    spans = quotations(low)
+    weight, in_quotes = Counter(), 0.0
+    for at, n, found in places:
+        near = words[max(0, n - window) : n]
+        quote = quoted(spans, at)
+        told, to_someone = not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near)
+        weight[found[0]] += 1.0 + CONTEXT[0] * quote + CONTEXT[1] * told + CONTEXT[2] * to_someone
+        in_quotes += quote
+    total, kinds = len(places), len({entry for _, _, (_, entry) in places})
     return [float(np.log1p(weight["exact"])), float(np.log1p(weight["near"])), float(np.log1p(weight["start"])), in_quotes / total, float(np.log1p(kinds)), min(1.0, 10 * total / len(words))]
 
 
@@ -219,11 +264,14 @@ def select_terms(nodes: list[tuple[str, int, int]], purity: float) -> tuple[list
     return sorted(w for w in terms if not any(w.startswith(s) for s in starts)), starts
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, train_rows: int, lexicon_size: int = 1000, least_docs: int = 4, purity: float = 0.85, errors: int = 1) -> Model:
-    """A model from at most train_rows labelled rows; labels holds those that may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, train_rows: int, lexicon_size: int = 1000, least_docs: int = 4, purity: float = 0.85, errors: int = 1, start_sizes: tuple[int, int] = (4, 10)) -> Model:
+    """A model from at most train_rows labelled rows; labels holds those that may be learned from.
+
+    The lexicon has at most lexicon_size entries, beginnings of start_sizes letters among them.
+    """
     chosen = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y", (F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)) == 0).alias("held"))
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y", (F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)) == 0).alias("held")), "labelled")
 
     def nodes(batches):
         toxic, all_docs = Counter(), Counter()
@@ -232,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id
                 if not held:
                     words = set(WORD.findall((text or "").lower()))
                     found = {w + "$" for w in words if len(w) >= 3}
-                    for n in range(4, 11):
+                    for n in range(start_sizes[0], start_sizes[1] + 1):
                         found.update([w[:n] for w in words if len(w) >= n])
                     all_docs.update(found)
                     if y:
