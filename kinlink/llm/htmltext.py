@@ -20,7 +20,11 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 #: Elements by their role (fixed values).
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option datalist xmp noembed noframes button".split())
-APART = frozenset("nav footer aside form menu dialog".split())
+APART = frozenset("nav footer aside menu dialog".split())
+#: A form that one of these begins in is a wrapper of the page, as some servers write it (fixed values).
+PAGE_PARTS = frozenset("article main header footer nav h1".split())
+#: Elements that hold text rather than a part of a page; their ids are anchors (fixed values).
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption pre blockquote figcaption span a b i em strong small code".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -29,41 +33,54 @@ BLOCK = frozenset(
 #: Words of a class, id or role that set a part of a page apart (fixed values).
 MARKS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar comment comments "
-    "disqus reply replies respond share sharing social related recommended recommendations widget search pagination pager contentinfo complementary".split()
+    "newsletter sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar comment comments "
+    "disqus reply replies respond related recommended recommendations contentinfo complementary".split()
 )
-#: Those of them that also hold when an article begins inside (fixed values): others may be on a wrapper of the whole page.
+#: Words that sites put on their own parts and authors on parts of an article: what they mark is doubtful (fixed values).
+DOUBTFUL = frozenset("search widget social share sharing login signup subscribe subscription pagination pager".split())
+#: Those of MARKS that also hold when an article begins inside (fixed values): others may be on a wrapper of the whole page.
 FIRM = frozenset("comment comments disqus reply replies respond related recommended recommendations sponsor sponsored ad ads advert advertisement promo".split())
+#: Those of FIRM that hold on an article element itself, as comments are often written as such (fixed values).
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Beginnings of class names that tell what a text is about or what a page has (fixed values).
+ABOUT = ("tag-", "category-", "topic-", "has-", "no-", "with-", "without-", "is-", "single-")
 
 
 @dataclass(frozen=True)
 class Block:
-    """text; main: inside an article or main element; apart: inside a part that isn't the article's."""
+    """text; main: inside an article or main element; apart: inside a part that isn't the article's; doubtful: the markup leaves that open."""
 
     text: str
     main: bool
     apart: bool
+    doubtful: bool
+
+
+_NO, _DOUBT, _SOFT, _FIRM = range(4)
 
 
 def _apart(name: str, attrs: str, inside: bool) -> int:
-    """2: apart in any case; 1: apart unless an article begins inside; 0: not."""
+    """_FIRM: apart in any case; _SOFT: apart unless an article begins inside; _DOUBT: doubtful; _NO: none of these."""
     if name in APART:
-        return 2
+        return _FIRM
     if name == "header" and not inside:
-        return 1
+        return _SOFT
     if not attrs or attrs.isspace() or name in ("body", "html"):
-        return 0
-    found = 0
+        return _NO
+    whole = name in ("article", "main")
+    found = _NO
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return 2
-        if key in ("class", "id", "role"):
-            words = _TOKEN.findall(value)
-            if not FIRM.isdisjoint(words):
-                return 2
-            if name not in ("article", "main") and not MARKS.isdisjoint(words):
-                found = 1
+            return _FIRM
+        if key in ("class", "role") or key == "id" and name not in TEXTUAL and not whole:
+            words = {w for part in value.split() if not part.startswith(ABOUT) for w in _TOKEN.findall(part)}
+            if not (COMMENTS if whole and not inside else FIRM).isdisjoint(words):
+                return _FIRM
+            if not whole and not MARKS.isdisjoint(words):
+                found = _SOFT
+            elif not whole and not DOUBTFUL.isdisjoint(words):
+                found = max(found, _DOUBT)
     return found
 
 
@@ -72,8 +89,10 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, and whether it hides, sets apart (2: firmly), is main
-    hides = firm = soft = mains = base = 0  # base: what was softly apart where the article began
+    stack: list[tuple[str, int, int, int]] = []  # name, and whether it hides, how it is set apart, whether it is main
+    hides = firm = soft = doubt = mains = base = 0  # base: what was softly apart where the article began
+    forms, n_forms, wrappers = [], 0, set()  # open forms; those that hold parts of the page
+    in_form: list[int] = []  # the form of each block, 0 for none
     held: list[str] = []
     breaks = at = 0
     lower = None
@@ -83,12 +102,15 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(Block(text, mains > 0, firm > 0 or soft > base))
+                out.append(Block(text, mains > 0, firm > 0 or soft > base, doubt > 0))
+                in_form.append(forms[-1] if forms else 0)
 
     def pop(to: int) -> None:
-        nonlocal hides, firm, soft, mains, base
-        for _, h, a, m in stack[to:]:
-            hides, firm, soft, mains = hides - h, firm - (a == 2), soft - (a == 1), mains - m
+        nonlocal hides, firm, soft, doubt, mains, base
+        for name, h, a, m in stack[to:]:
+            hides, firm, soft, doubt, mains = hides - h, firm - (a == _FIRM), soft - (a == _SOFT), doubt - (a == _DOUBT), mains - m
+            if name == "form":
+                forms.pop()
         del stack[to:]
         base = base if mains else 0
 
@@ -176,7 +198,12 @@ def blocks(page: str | None) -> list[Block]:
         hide, apart, main = int(name in HIDDEN), _apart(name, m["attrs"], mains > 0), int(name in ("article", "main"))
         stack.append((name, hide, apart, main))
         base = soft if main and not mains else base
-        hides, firm, soft, mains = hides + hide, firm + (apart == 2), soft + (apart == 1), mains + main
+        hides, firm, soft, doubt, mains = hides + hide, firm + (apart == _FIRM), soft + (apart == _SOFT), doubt + (apart == _DOUBT), mains + main
+        if name in PAGE_PARTS:
+            wrappers.update(forms)
+        if name == "form":
+            n_forms += 1
+            forms.append(n_forms)
         if name == "body" and hides:  # a head that was never closed
             for n, s in enumerate(stack[:-1]):
                 if s[0] == "head":
@@ -184,4 +211,4 @@ def blocks(page: str | None) -> list[Block]:
                     hides -= 1
                     break
     flush()
-    return out
+    return [Block(b.text, b.main, b.apart or f > 0 and f not in wrappers, b.doubtful) for b, f in zip(out, in_form, strict=True)]
