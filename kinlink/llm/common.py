@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -118,6 +119,30 @@ def anti(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataF
     return beside.where(~isset).select(*df.columns).unionByName(beside.where(isset).select(*df.columns).join(keys, key, "left_anti"))
 
 
+class Spans:
+    """Spans of a text, merged, to ask whether another one overlaps any of them in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlap(self, a: int, b: int) -> bool:
+        n = bisect_left(self.starts, b) - 1
+        return n >= 0 and self.ends[n] > a
+
+    def add(self, a: int, b: int) -> None:
+        """Adds a span that overlaps none."""
+        n = bisect_left(self.starts, a)
+        self.starts.insert(n, a)
+        self.ends.insert(n, b)
+
+
 def schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
