@@ -271,7 +271,9 @@ def _example(rng: random.Random) -> tuple[str, Span, int]:
     kind, good = rng.choice(KINDS + EXTRA_KINDS), rng.random() < 0.7
     role = rng.choice([n for n in range(3) if SENTENCES[kind][n] and not (n == 1 and good and kind in ("email", "ip"))])
     head, _, tail = rng.choice(SENTENCES[kind][role]).partition("{}")
-    fill = lambda most: " ".join(rng.choice(_FILL) for _ in range(rng.randint(0, most)))
+    word = lambda: str(rng.randrange(10 ** rng.randint(1, 5))) if rng.random() < numbers else rng.choice(_FILL)
+    fill = lambda most: " ".join(word() for _ in range(rng.randint(0, most)))
+    numbers = rng.choice((0, 0, 0.2, 0.6))  # how many of the words around are numbers
     head = f"{fill(8)}{rng.choice(('. ', ', ', ' ', '; '))}{head}"
     if rng.random() < 0.3:
         head = head.rstrip() + rng.choice((" no. ", ": ", " = ", " # ", " number "))
