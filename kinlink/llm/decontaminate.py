@@ -7,26 +7,29 @@ A document word that is such a prefix proposes every window with it at the offse
 positional bounds (the window must begin and end inside the document, whose length bounds it) prune,
 and the words of the span are then compared one by one.
 
-The items are taken in blocks of bounded size; each block is one pass over the documents, without a
-shuffle, and no document is ever compared with all items. Two passes read the documents: one counts the
-items' words over all documents, one joins.
+The items are taken in blocks of bounded size, one block at a time on the driver; each is one pass over
+the documents, and no document is ever compared with all items. Two passes read the documents for a block: one
+counts the items' words over all documents, one joins. With more than one block only hits are kept between them, and
+they are put together by document at the end.
 
 Edge cases: a null text or item has no words, an empty one too; an item without words has no window;
-items that repeat, also under one id, hit the same words and count once an id; null item ids are left
-out; repeated documents give repeated rows; an empty benchmark leaves every document clean.
+items that repeat, also under one id, hit the same words and count once an id; windows of an item with a
+null id count like others, but the item isn't named or counted; repeated documents give repeated rows; an
+empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import map_batches, map_rows, schema
+from kinlink.llm.common import map_batches, map_rows, schema, staged
 
 #: Upper to lower case, other characters than letters and digits to a space; bytes of 0x80 and over stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -40,12 +43,12 @@ def words(text: str | None) -> list[bytes]:
 class Windows:
     """The distinct windows of a block of items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int) -> None:
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item_id, text in items:
             w = words(text)
             for n in range(max(1, len(w) - size + 1) if w else 0):
-                owners[tuple(w[n : n + size])].add(item_id)
+                owners[tuple(w[n : n + size])].update(() if item_id is None else (item_id,))
         self.owners = dict(owners)
         self.vocabulary = {w for window in owners for w in window}
 
@@ -110,42 +113,67 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-FOUND = schema(doc_id=T.LongType(), text=T.StringType(), n_words=T.LongType(), spans=T.ArrayType(_SPAN), items=T.ArrayType(T.StringType()))
+FOUND = schema(doc_id=T.LongType(), n_words=T.LongType(), spans=T.ArrayType(_SPAN), items=T.ArrayType(T.StringType()))
+HITS = schema(row=T.LongType(), spans=T.ArrayType(_SPAN), items=T.ArrayType(T.StringType()))
 
 
-def contain(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 16_000_000, keep_text: bool = False) -> DataFrame:
+def _spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": s, "end": e} for s, e in spans]
+
+
+def contain(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 16_000_000) -> DataFrame:
     """For each document its words, the word spans that item windows cover, and those items' ids."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull())
-    all_blocks = list(blocks(items, size, block_chars)) or [Windows([], size)]
-    out = None
-    for n, block in enumerate(all_blocks):
-        index = block.by_prefix(document_frequency(docs, "text", block.vocabulary) if block.vocabulary else {})
-        last = n == len(all_blocks) - 1 and not keep_text
-
-        def rows(batches, index=index, last=last):
+    waiting = blocks(benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")), size, block_chars)
+    first, second = next(waiting, None) or Windows([], size), next(waiting, None)
+
+    def indexed(block: Windows) -> dict:
+        return block.by_prefix(document_frequency(docs, "text", block.vocabulary) if block.vocabulary else {})
+
+    if second is None:
+        index = indexed(first)
+
+        def rows(batches):
+            for b in batches:
+                texts = [words(t) for t in b["text"]]
+                found = [hits(w, index) for w in texts]
+                yield {"doc_id": b["doc_id"], "n_words": [len(w) for w in texts], "spans": [_spans(s) for s, _ in found], "items": [sorted(i) for _, i in found]}
+
+        return map_rows(docs, rows, FOUND)
+
+    marked = docs.withColumn("row", F.monotonically_increasing_id())
+
+    def hit(index: dict) -> DataFrame:
+        def rows(batches):
             for b in batches:
-                spans, items, sizes = [], [], []
-                for k, text in enumerate(b["text"]):
-                    w = words(text)
-                    own, ids = hits(w, index)
-                    if "spans" in b:
-                        own = merged(own + [(s["start"], s["end"]) for s in b["spans"][k]])
-                        ids = ids | set(b["items"][k])
-                    sizes.append(len(w))
-                    spans.append([{"start": s, "end": e} for s, e in own])
-                    items.append(sorted(ids))
-                yield {"doc_id": b["doc_id"], "text": [None] * len(sizes) if last else b["text"], "n_words": sizes, "spans": spans, "items": items}
-
-        out = map_rows(docs if out is None else out, rows, FOUND)
-    return out if keep_text else out.drop("text")
+                found = [(row, *hits(words(t), index)) for row, t in zip(b["row"], b["text"], strict=True)]
+                found = [(row, spans, items) for row, spans, items in found if spans]
+                yield {"row": [r for r, _, _ in found], "spans": [_spans(s) for _, s, _ in found], "items": [sorted(i) for _, _, i in found]}
+
+        return map_rows(marked.select("row", "text"), rows, HITS)
+
+    parts = [staged(hit(indexed(first)), "hits"), staged(hit(indexed(second)), "hits")]
+    del first, second
+    parts += [staged(hit(indexed(block)), "hits") for block in waiting]
+    found = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def sizes(batches):
+        for b in batches:
+            yield {"row": b["row"], "doc_id": b["doc_id"], "n_words": [len(words(t)) for t in b["text"]]}
+
+    def together(batches):
+        for b in batches:
+            spans = [merged([(x["start"], x["end"]) for x in s or []]) for s in b["spans"]]
+            yield {"doc_id": b["doc_id"], "n_words": b["n_words"], "spans": [_spans(s) for s in spans], "items": [sorted(i or []) for i in b["items"]]}
+
+    counted = map_rows(marked, sizes, schema(row=T.LongType(), doc_id=T.LongType(), n_words=T.LongType()))
+    return map_rows(counted.join(found, "row", "left").drop("row"), together, FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 16_000_000) -> DataFrame:
     """The rows of docs, whole and with all their columns, in which no item window occurs."""
     out = docs
-    items = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).where(F.col(item_id).isNotNull())
-    for block in blocks(items, size, block_chars):
+    for block in blocks(benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")), size, block_chars):
         if not block.vocabulary:
             continue
         index = block.by_prefix(document_frequency(docs, text_col, block.vocabulary))
@@ -179,7 +207,7 @@ WITH d AS (
   FROM documents),
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
@@ -189,7 +217,7 @@ dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (win) WHERE dw.n = bw.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)

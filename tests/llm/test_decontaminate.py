@@ -18,7 +18,7 @@ def plain(docs, items, size=10):
                 for a in range(len(w) - len(win) + 1):
                     if w[a : a + len(win)] == win:
                         hit.update(range(a, a + len(win)))
-                        found.add(str(name))
+                        found.update([] if name is None else [str(name)])
         out.append((i, len(w), len(hit), sorted(found)))
     return out
 
@@ -39,7 +39,7 @@ TEXTS = [
 
 def test_against_brute_force(spark, make_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    want = sorted(plain(TEXTS, [x for x in ITEMS if x[0] is not None]), key=str)
+    want = sorted(plain(TEXTS, ITEMS), key=str)
     for block in (16_000_000, 1):  # one block, and a block an item
         found = d.contain(make_docs(TEXTS), bench, block_chars=block).collect()
         got = sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in found), key=str)
@@ -49,7 +49,7 @@ def test_against_brute_force(spark, make_docs):
 def test_clean(spark, make_docs, odd, empty):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = d.clean(make_docs(TEXTS), bench)
-    assert sorted(str(r.doc_id) for r in got.collect()) == ["4", "5", "6", "6", "None"]
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["4", "5", "6", "6"]
     assert got.columns == odd.columns
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert d.clean(odd, nothing).count() == 9
@@ -57,5 +57,27 @@ def test_clean(spark, make_docs, odd, empty):
     assert d.contain(odd, nothing).count() == 9
 
 
+def test_blocks_are_taken_one_at_a_time(spark, make_docs, monkeypatch):
+    """No more than two blocks are ever made ahead of the pass over the documents."""
+    made, passed = [], []
+    first = d.Windows.__init__
+    monkeypatch.setattr(d.Windows, "__init__", lambda self, items, size: (made.append(len(made)), first(self, items, size))[1])
+    frequency = d.document_frequency
+    monkeypatch.setattr(d, "document_frequency", lambda *a: (passed.append(len(made) - len(passed)), frequency(*a))[1])
+    bench = spark.createDataFrame([(i, f"words of item {i} and some more of its own {i}") for i in range(6)], "item_id long, text string")
+    assert d.contain(make_docs(TEXTS), bench, block_chars=1).count() == len(TEXTS)
+    assert len(made) == 6 and max(passed) <= 2
+
+
+def test_null_item_ids_and_sql(spark, make_docs, save):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = make_docs([(k, t) for k, (_, t) in enumerate(TEXTS)])
+    folder = save(documents=docs, benchmark=bench)
+    con = __import__("duckdb").connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    same(spark, con, folder, d.op5_decontaminate, d.ORACLE)
+
+
 def test_query_equals_its_sql(spark, data):
     same(spark, connect(data), data, d.op5_decontaminate, d.ORACLE)
