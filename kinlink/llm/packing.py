@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 import string
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -61,7 +62,9 @@ class Encoder:
         tail = chunk[len(core) :]
         if core.isascii():
             core = core.lower()
-        return (core, tail) if tail and core and core[-1].isalnum() else (core + tail,)
+        # a letter whose composed small form ends in a mark joins what follows
+        last = core[-1:] if core.isascii() else unicodedata.normalize("NFC", core[-1]).lower()[-1]
+        return (core, tail) if tail and last.isalnum() else (core + tail,)
 
     def _learn(self, chunks: set[str]) -> None:
         young, old = self.young, self.old

@@ -20,6 +20,17 @@ def test_encoder_equals_the_tokenizer():
             assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_encoder_equals_the_tokenizer_after_every_letter():
+    """Every letter and digit of Unicode before marks; some have a small or composed form that ends in a mark."""
+    t, e = Tokenizer.from_file(PATH), p.Encoder(PATH)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalnum()]
+    for tail in ("-", '"', "'s", "!?"):
+        for c, want in zip(letters, t.encode_batch([f"a{c}{tail}" for c in letters], add_special_tokens=False), strict=True):
+            assert np.frombuffer(e.encode(f"a{c}{tail}"), "<u4").tolist() == [*want.ids, 0], (c, tail)
+    text = 'İSTANBULLULAR VE TÜRKİ, ANKARALI "İ" İ<'
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
 def places(plan, histogram):
     """Bins as lists of (offset, length)."""
     bins = {}
@@ -61,6 +72,42 @@ def test_plan_is_best_fit():
         assert len(places(p.plan(h, 40), h)) == len(left)
 
 
+@pytest.mark.parametrize("rule", ["residual_norm", "dot_product"])
+def test_plan_is_vector_best_fit(rule):
+    """Bin by bin what vector best-fit gives that looks at every bin for every piece."""
+    rng = random.Random(11)
+    for _ in range(40):
+        h = {rng.randint(1, 30): rng.randint(1, 12) for _ in range(8)}
+        documents, attention = rng.choice([2, 3, 5]), rng.choice([400, 900, 1300])
+        w, cap = [rng.uniform(0.2, 2) for _ in range(3)], (40, documents, attention)
+        if max(h) ** 2 > attention:
+            continue
+        left = []
+        for length in sorted((x for x, n in h.items() for _ in range(n)), reverse=True):
+            need = (length, 1, length * length)
+            score = lambda r: -sum(a * ((b - n) / c) ** 2 for a, b, n, c in zip(w, r, need, cap)) if rule == "residual_norm" else sum(a * n * b / c**2 for a, b, n, c in zip(w, r, need, cap))  # noqa: B023, E731
+            fits = [r for r in left if all(x >= n for x, n in zip(r, need))]
+            best = max(fits, key=score) if fits else cap
+            if fits:
+                left.remove(best)
+            left.append(tuple(x - n for x, n in zip(best, need)))
+        content = places(p.plan(h, 40, documents, attention, rule, tuple(w)), h).values()
+        got = [(40 - sum(x for _, x in c), documents - len(c), attention - sum(x * x for _, x in c)) for c in content]
+        assert sorted(got) == sorted(left)
+
+
+def test_every_capacity_binds_on_documents(spark, data):
+    """Real documents where the number of sequences is set by tokens, by documents and by attention."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    plain = p.pack(docs, PATH).toPandas()
+    for more, used in (({"documents": 3}, lambda g: len(g) == 3), ({"attention": 300_000}, lambda g: (g.length**2).sum() > 250_000)):
+        got = p.pack(docs, PATH, weights=(1.0, 0.5, 0.5), **more).toPandas()
+        groups = [g for _, g in got.groupby("sequence_id")]
+        assert got.length.sum() == plain.length.sum() and got.sequence_id.nunique() > plain.sequence_id.nunique()
+        assert all(g.length.sum() <= 2048 and len(g) <= more.get("documents", 2048) and (g.length**2).sum() <= more.get("attention", 2048**2) for g in groups)
+        assert sum(map(used, groups)) > 0.3 * len(groups)
+
+
 def test_impossible_piece():
     with pytest.raises(ValueError, match="fits no bin"):
         p.plan({50: 1}, 40)
