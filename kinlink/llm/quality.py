@@ -1,13 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Every rule rejects a document by a condition on its text. Cost (seconds a row) and selectivity (share
-rejected) of each are measured on a bounded sample, and the rules run in the order of rejection per
-cost: a nested CASE evaluates a rule only for rows that all earlier ones let pass. The order changes
-what a run costs, never which rows it keeps.
+Every rule rejects a document by a condition on its text. Cost and selectivity (share rejected) of each
+are measured on a bounded sample, and the rules run in the order of rejection per cost: a nested CASE
+evaluates a rule only for rows that all earlier ones let pass. The order changes what a run costs, never
+which rows it keeps nor which rule is named for a row: that is the first in the order given.
+
+The sample is drawn at random from the rows of the table that is judged. The cost of a rule is the least
+time of several runs over the kept sample, after one that isn't counted, less the time of a run without a
+rule. A rule goes ahead of one that is given before it only if its rejection per cost is `clear` times as
+great, so that a clock's noise doesn't change the order.
+
+passing() is where the order saves work. judged() has to give the figures of every row, so there a rule that
+can be told from them is, and only other rules look at the text again.
 
 Edge cases: a null text has no words and is rejected by min_words, as an empty one; texts of any length
 are judged whole; repeated rows get the same verdict each; an empty table gives an empty result (rules
-then keep the order given). Columns of any name may be there; only text_col is read.
+then keep the order given). Columns of any name may be there; only text_col (and id_col) is read.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +52,14 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def n_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOT_SPACE)))
+def lines(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOT_SPACE))
 
 
-def n_dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOT_SPACE))
-    return _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+def repeats(found: Column) -> Column:
+    """How many of an array's elements equal an earlier one."""
+    return F.size(found) - F.size(F.array_distinct(found))
 
 
 def n_repeat_words(ws: Column, size: int = 3) -> Column:
@@ -91,88 +101,130 @@ def n_repeat_words(ws: Column, size: int = 3) -> Column:
     return _bound(ws, lambda w: F.when(F.size(w) < size + 1, F.lit(0)).otherwise(_bound(places(w), covered)))
 
 
+#: Figures of a row that judged() gives or needs, by name.
+Figures = dict[str, Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """name, and a condition on text that rejects."""
+    """name, a condition on text that rejects, and the same on the figures of a row, if they tell."""
 
     name: str
     rejects: Callable[[Column], Column]
+    by_figures: Callable[[Figures], Column] | None = None
 
 
 def default_rules(min_words: int = 50, repeat_percent: int = 50, symbol_percent: int = 5, dup_line_percent: int = 30, min_dup_lines: int = 3, mean_word: tuple[float, float] = (2.0, 15.0)) -> list[Rule]:
+    few = lambda n: n < min_words
+    windows = lambda repeated, n: 100 * repeated > repeat_percent * n
+    symbols = lambda n, chars: 100 * n > symbol_percent * F.greatest(chars, F.lit(1))
+    same_lines = lambda n, of: (n >= min_dup_lines) & (100 * n > dup_line_percent * of)
+    length = lambda chars, n: ~(chars / F.greatest(n, F.lit(1))).between(*mean_word)
     return [
-        Rule("min_words", lambda t: F.size(words(t)) < min_words),
-        Rule("repeated_windows", lambda t: _bound(words(t), lambda w: 100 * n_repeat_words(w) > repeat_percent * F.size(w))),
-        Rule("symbols", lambda t: 100 * n_symbols(t) > symbol_percent * F.greatest(word_chars(t), F.lit(1))),
-        Rule("repeated_lines", lambda t: _bound(n_dup_lines(t), lambda n: (n >= min_dup_lines) & (100 * n > dup_line_percent * n_lines(t)))),
-        Rule("word_length", lambda t: ~(word_chars(t) / F.greatest(F.size(words(t)), F.lit(1))).between(*mean_word)),
+        Rule("min_words", lambda t: few(F.size(words(t))), lambda f: few(f["n_words"])),
+        Rule("symbols", lambda t: symbols(n_symbols(t), word_chars(t)), lambda f: symbols(f["n_symbols"], f["word_chars"])),
+        Rule("repeated_lines", lambda t: _bound(lines(t), lambda x: _bound(repeats(x), lambda n: same_lines(n, F.size(x)))), lambda f: same_lines(f["n_dup_lines"], f["n_lines"])),
+        Rule("word_length", lambda t: length(word_chars(t), F.size(words(t))), lambda f: length(f["word_chars"], f["n_words"])),
+        Rule("repeated_windows", lambda t: _bound(words(t), lambda w: windows(n_repeat_words(w), F.size(w))), lambda f: windows(f["n_repeat_words"], f["n_words"])),
     ]
 
 
-def sample_of(docs: DataFrame, text_col: str, rows: int, files: int) -> DataFrame:
-    """At most `rows` texts of at most `files` input files, spread over the table; only those files are read."""
-    paths = sorted(docs.inputFiles())
-    if len(paths) > files:
-        paths = [paths[n * len(paths) // files] for n in range(files)]
-    spark = docs.sparkSession
-    source = spark.read.schema(docs.select(text_col).schema).parquet(*paths) if paths and all(p.endswith(".parquet") for p in paths) else docs.select(text_col)
-    return source.select(F.col(text_col).cast("string").alias("text")).limit(rows)
+def sample_of(docs: DataFrame, text_col: str, rows: int, files: int, seed: int = 42) -> DataFrame:
+    """At most `rows` texts of docs, drawn at random; of a table of more than `files` files so many are read, spread over it."""
+    try:
+        paths = sorted(docs.inputFiles())
+        if len(paths) > files:
+            chosen = [paths[n * len(paths) // files].split(":", 1)[-1].lstrip("/") for n in range(files)]
+            docs = docs.where(F.regexp_replace("_metadata.file_path", "^[^:]*:/*", "").isin(chosen))
+        source = docs.select(F.col(text_col).cast("string").alias("text"))
+    except AnalysisException:  # rows that no longer know their file: all of them are drawn from
+        source = docs.select(F.col(text_col).cast("string").alias("text"))
+    return source.orderBy(F.rand(seed)).limit(rows)
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 400, sample_files: int = 4) -> tuple[list[Rule], dict[str, tuple[float, float]]]:
+def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 400, sample_files: int = 4, runs: int = 2, clear: float = 4.0) -> tuple[list[Rule], dict[str, tuple[float, float]]]:
     """rules by rejection per cost, and each one's (seconds a row, share rejected) on the sample."""
     sample = sample_of(docs, text_col, sample_rows, sample_files).cache()
+    text = F.col("text")
+
+    def run(condition: Column) -> tuple[float, float]:
+        job = sample.agg(F.avg(condition.cast("double")))
+        share = job.first()[0] or 0.0  # not counted: plans, generated code
+        took = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            job.first()
+            took.append(time.perf_counter() - began)
+        return min(took), share
+
     try:
         rows = sample.count()
+        if not rows:
+            return list(rules), {}
+        idle, _ = run(text.isNull())
         figures = {}
-        for rule in rules if rows else []:
-            began = time.perf_counter()
-            share = sample.agg(F.avg(rule.rejects(F.col("text")).cast("double"))).first()[0]
-            figures[rule.name] = ((time.perf_counter() - began) / rows, share or 0.0)
+        for rule in rules:
+            took, share = run(rule.rejects(text))
+            figures[rule.name] = (max(took - idle, idle / 2) / rows, share)
     finally:
         sample.unpersist()
-    if not figures:
-        return list(rules), {}
-    least = min(cost for cost, _ in figures.values())
-    gain = lambda r: (figures[r.name][1] + 1e-9) / max(figures[r.name][0], least)
-    return sorted(rules, key=gain, reverse=True), figures
-
-
-def rejected_by(text: Column, rules: list[Rule]) -> Column:
-    """The first rule that rejects text, else null; later rules aren't evaluated."""
-    out = F.lit(None).cast("string")
+    ordered: list[Rule] = []
+    for rule in rules:
+        cost, share = figures[rule.name]
+        at = len(ordered)
+        while at and share / cost > clear * figures[ordered[at - 1].name][1] / figures[ordered[at - 1].name][0]:
+            at -= 1
+        ordered.insert(at, rule)
+    return ordered, figures
+
+
+def rejected(text: Column, rules: list[Rule], figures: Figures | None = None) -> Column:
+    """Whether a rule rejects text; the first that does ends it. Rules that figures tell don't look at the text."""
+    out = F.lit(False)
     for rule in reversed(rules):
-        out = F.when(rule.rejects(text), F.lit(rule.name)).otherwise(out)
+        condition = rule.by_figures(figures) if figures and rule.by_figures else rule.rejects(text)
+        out = F.when(condition, F.lit(True)).otherwise(out)
     return out
 
 
+def rejected_by(text: Column, ordered: list[Rule], given: list[Rule], figures: Figures | None = None) -> Column:
+    """Of the rules that reject text the first in the order given, else null; rows that pass are judged in the other order."""
+    name = F.lit(None).cast("string")
+    for rule in reversed(given):
+        condition = rule.by_figures(figures) if figures and rule.by_figures else rule.rejects(text)
+        name = F.when(condition, F.lit(rule.name)).otherwise(name)
+    return F.when(rejected(text, ordered, figures), name)
+
+
 def passing(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", **sample) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns."""
     ordered, _ = order_rules(docs, rules or default_rules(), text_col, **sample)
-    return docs.where(rejected_by(F.col(text_col).cast("string"), ordered).isNull())
+    return docs.where(~rejected(F.col(text_col).cast("string"), ordered))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, **sample) -> DataFrame:
-    """Base figures of each row, base_failed, kept and the rule of the cascade that rejected it.
+    """Base figures of each row, base_failed, kept, and of the rules that reject it the first in the order given.
 
-    What the base figures of a row already tell isn't computed again for the rules of the same name.
+    kept is false where base_failed is, whatever the rules.
     """
-    ordered, _ = order_rules(docs, rules or default_rules(), text_col, **sample)
+    given = rules or default_rules()
+    ordered, _ = order_rules(docs, given, text_col, **sample)
     text = F.col("text")
+    once = lambda value, body: F.transform(F.array(value), body)[0]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select(
         "doc_id",
         "text",
-        F.transform(F.array(words(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).cast("long").alias("n_repeat_words")))[0].alias("w"),
+        once(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        once(lines(text), lambda x: F.struct(F.size(x).alias("n_lines"), repeats(x).cast("long").alias("n_dup_lines"))).alias("l"),
         word_chars(text).cast("long").alias("word_chars"),
         n_symbols(text).cast("long").alias("n_symbols"),
-        n_dup_lines(text).cast("long").alias("n_dup_lines"),
     )
-    base = base.select("doc_id", "text", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    base = base.select("doc_id", "text", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rest = [r for r in ordered if r.name not in ("min_words", "repeated_windows")] if rules is None else ordered
-    by = F.when(F.col("n_words") < 50, F.lit("min_words")).when(100 * F.col("n_repeat_words") > 50 * F.col("n_words"), F.lit("repeated_windows")).otherwise(rejected_by(text, rest))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), by.alias("rejected_by")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by"
+    figures = {n: F.col(n) for n in (*names, "n_lines")}
+    return base.select(
+        "doc_id", *names, failed.alias("base_failed"), (~failed & ~rejected(text, ordered, figures)).alias("kept"), rejected_by(text, ordered, given, figures).alias("rejected_by")
     )
 
 

@@ -28,19 +28,50 @@ def test_figures(spark, make_docs):
     assert all(not r.kept for r in rows if r.base_failed)
 
 
-def test_rows_kept_do_not_depend_on_the_order(spark, make_docs):
+def test_rows_kept_and_rules_named_do_not_depend_on_the_order(spark, make_docs):
     docs = make_docs(list(enumerate(TEXTS)))
     rules = q.default_rules()
-    kept = lambda rs: {r.doc_id for r in docs.where(q.rejected_by(F.col("text"), rs).isNull()).collect()}
+    kept = lambda rs: {r.doc_id for r in docs.where(~q.rejected(F.col("text"), rs)).collect()}
     assert kept(rules) == kept(rules[::-1]) == {r.doc_id for r in q.passing(docs).collect()} == {12}
+    named = lambda rs: {r.doc_id: r.by for r in docs.select("doc_id", q.rejected_by(F.col("text"), rs, rules).alias("by")).collect()}
+    assert named(rules) == named(rules[::-1]) == {r.doc_id: r.rejected_by for r in q.judged(docs).collect()}
+    assert named(rules)[12] is None and named(rules)[10] == "word_length" and named(rules)[11] == "repeated_windows" and named(rules)[0] == "min_words"
+
+
+def test_figures_tell_what_the_text_tells(spark, make_docs):
+    docs = make_docs(list(enumerate(TEXTS)))
+    by_text = [q.Rule(r.name, r.rejects) for r in q.default_rules()]
+    assert q.judged(docs, rules=by_text).exceptAll(q.judged(docs)).isEmpty()
 
 
 def test_order_by_rejection_per_cost(spark, make_docs):
-    docs = make_docs([(i, f"word{i}") for i in range(50)])
+    docs = make_docs([(i, f"word{i} " * 200) for i in range(50)])
     never, always = q.Rule("never", lambda t: F.length(t) > 10**6), q.Rule("always", lambda t: F.length(t) > 0)
     ordered, figures = q.order_rules(docs, [never, always])
     assert [r.name for r in ordered] == ["always", "never"]
     assert figures["always"][1] == 1 and figures["never"][1] == 0
+    dear = q.Rule("dear", lambda t: F.size(F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.xxhash64(t, i)))) > 0)
+    ordered, figures = q.order_rules(docs, [dear, always])
+    assert [r.name for r in ordered] == ["always", "dear"] and figures["dear"][0] > 4 * figures["always"][0]
+
+
+def test_the_order_repeats(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    orders = {tuple(r.name for r in q.order_rules(docs, q.default_rules())[0]) for _ in range(5)}
+    assert len(orders) == 1
+
+
+def test_the_sample_is_of_the_table_given(spark, make_docs, save):
+    folder = save(documents=make_docs([(i, f"word{i}") for i in range(900)], partitions=9).repartition(9))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("text", "body")
+    assert len(docs.inputFiles()) == 9
+    drawn = q.sample_of(docs.where("doc_id >= 500"), "body", 50, 3)
+    assert drawn.count() == 50 and all(int(r.text[4:]) >= 500 for r in drawn.collect())
+    assert len(q.sample_of(docs, "body", 50, 3).join(docs.select(F.col("body").alias("text"), F.input_file_name().alias("f")), "text").select("f").distinct().collect()) <= 3
+    assert q.order_rules(docs.where("doc_id < 0"), q.default_rules(), "body")[1] == {}
+    grouped = docs.groupBy("doc_id").agg(F.max("body").alias("body"))
+    assert q.sample_of(grouped, "body", 10, 3).count() == 10
+    assert q.passing(grouped, text_col="body").count() == 0
 
 
 def test_edge_cases(spark, odd, empty):
