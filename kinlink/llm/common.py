@@ -97,7 +97,8 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable
 def _marked(df: DataFrame, key: str, keys: DataFrame, bits: int) -> tuple[DataFrame, Column]:
     """df beside a bitmap of the hashes of keys, and whether its row's bit is set.
 
-    The bitmap has a fixed size and is broadcast (bits / 8 bytes at most, in rows of 4 KB).
+    The bitmap has a fixed size and is broadcast (bits / 8 bytes at most, in rows of 4 KB). Callers use it only
+    for keys that leave most of its bits unset.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     chunk, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
@@ -108,13 +109,23 @@ def _marked(df: DataFrame, key: str, keys: DataFrame, bits: int) -> tuple[DataFr
 
 
 def semi(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """df joined with keys by key (long, unique in keys); rows that the bitmap rules out aren't shuffled."""
+    """df joined with keys (staged) by key (long, unique in keys).
+
+    Rows that a bitmap rules out aren't shuffled. Keys for more than half of its bits are joined without.
+    """
+    if keys.count() > bits // 2:
+        return df.join(keys, key)
     beside, isset = _marked(df, key, keys, bits)
     return beside.where(isset).select(*df.columns).join(keys, key)
 
 
 def anti(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """The rows of df whose key isn't in keys; only rows that the bitmap can't rule out are shuffled."""
+    """The rows of df whose key isn't in keys (staged).
+
+    Only rows that a bitmap can't rule out are shuffled. Keys for more than half of its bits are joined without.
+    """
+    if keys.count() > bits // 2:
+        return df.join(keys, key, "left_anti")
     beside, isset = _marked(df, key, keys, bits)
     return beside.where(~isset).select(*df.columns).unionByName(beside.where(isset).select(*df.columns).join(keys, key, "left_anti"))
 

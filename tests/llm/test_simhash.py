@@ -112,12 +112,12 @@ def jaccard(x, y, words=5):
     return len(x & y) / len(x | y)
 
 
-def brute_kept(texts, distance=10, similarity=0.8):
+def brute_kept(texts, similarity=0.8):
     """Ids (places) that stay if every pair is compared."""
-    fps, root = [s.fingerprint(t) for t in texts], list(range(len(texts)))
+    root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if root[i] != root[j] and (fps[i] ^ fps[j]).bit_count() <= distance and jaccard(texts[i], texts[j]) >= similarity:
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= similarity:
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
     return sorted(set(root))
@@ -145,13 +145,89 @@ def test_keep_one_of_variants(spark, make_docs):
 def test_similar_in_blocks(spark):
     """Groups that are cut into blocks have the same classes as whole ones."""
     texts = variants(80)
-    rows = [(7, i, fp, t) for i, (t, fp) in enumerate(zip(texts, np.array([s.fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist(), strict=True))]
-    df = spark.createDataFrame(rows, "g long, node long, fp long, text string")
+    df = spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "g long, node long, text string")
     for sizes in ((128, 24, 8 << 20), (8, 24, 8 << 20), (8, 3, 8 << 20), (128, 24, 5000)):
-        found = {r.node: r.root for r in s.grouped(s.similar(df, 10, 5, 0.8, *sizes), "node").collect()}
+        found = {r.node: r.root for r in s.grouped(s.similar(df, 5, 0.8, *sizes), "node").collect()}
         assert sorted({found.get(i, i) for i in range(80)}) == brute_kept(texts)
 
 
+def edited(rng, words, kind, similarity):
+    """A text of random words and one of about that Jaccard similarity to it, by one kind of edit."""
+    base = [f"w{rng.randrange(20_000)}" for _ in range(words)]
+    share = (1 - similarity) / (1 + similarity)  # of the shingles of each that the other lacks
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    if kind == "words":  # single words all over the text
+        other = list(base)
+        for at in rng.sample(range(words), max(1, round(words * share / 5))):
+            other[at] = new(1)[0]
+    elif kind == "appended":
+        other = base + new(round(words * (1 - similarity) / similarity))
+    else:  # a passage in another place
+        at = rng.randrange(words // 2)
+        n = max(1, round(words * share) - 4)
+        other = base[:at] + new(n) + base[at + n :]
+    return " ".join(base), " ".join(other)
+
+
+def test_recall_by_kind_of_edit(spark, make_docs):
+    """Pairs of similarity 0.8 to 0.86, 60 of each kind of edit and length; only those of 0.8 or more count."""
+    rng, texts, pairs = random.Random(13), [], []
+    for words in (60, 250, 800):
+        for kind in ("words", "appended", "passage"):
+            for _ in range(60):
+                a, b = edited(rng, words, kind, rng.uniform(0.81, 0.86))
+                if jaccard(a, b) >= 0.8:
+                    pairs.append((len(texts), len(texts) + 1))
+                texts += [a, b]
+    assert len(pairs) > 300
+    kept = {r.doc_id for r in s.keep_one(make_docs(list(enumerate(texts)))).collect()}
+    missed = sum(b in kept for _, b in pairs)
+    assert missed <= 0.02 * len(pairs)
+    paired = {b for _, b in pairs}
+    assert all(i in kept for i in range(len(texts)) if i not in paired)  # the others aren't alike
+
+
+def test_classes_of_a_table_equal_all_pairs(spark, data):
+    """Every link of 0.8 or more among the documents of the smallest table, by comparing all."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    texts = [t.lower() for _, t in rows]
+    assert sorted(r.doc_id for r in s.keep_one(docs).collect()) == [rows[i][0] for i in brute_kept(texts)]
+
+
+def test_band_links_span_the_buckets(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(40) + 1000 * k for k in range(3)]) for i in range(300)] + [(1000 + i, [7, 8, 9]) for i in range(50)]
+    df = spark.createDataFrame(rows, "node long, keys array<long>").repartition(7)
+    edges = {(r.u, r.v) for r in s.bands.links(df).collect()}
+    root = {n: n for n, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[find(u)] = find(v)
+    got = [find(n) for n, _ in rows]
+    want = {n: n for n, _ in rows}
+    first = {}
+    for n, keys in rows:
+        for k in keys:
+            first.setdefault(k, n)
+    changed = True
+    while changed:
+        changed = False
+        for n, keys in rows:
+            low = min([want[n], *(want[first[k]] for k in keys)])
+            for m in [n, *(first[k] for k in keys)]:
+                changed |= want[m] != low and (want.update({m: low}) is None)
+    assert len(set(got)) == len(set(want.values()))
+    assert len(edges) <= sum(len(k) for _, k in rows)
+    assert s.bands.links(df.limit(0)).count() == 0
+    assert abs(s.bands.probability(0.8, 32, 8) - 0.997) < 0.001
+
+
 def repeated(n, words=2000, share=0.45, seed=11):
     """n texts of one fingerprint: a phrase makes up `share` of the words, the rest differs."""
     rng = random.Random(seed)
