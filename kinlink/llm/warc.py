@@ -1,23 +1,26 @@
 """WARC derivatives: linked metadata and plain-text conversion records of response records.
 
-read() turns WARC bytes (gzip members or plain) into records, one row each; derive() makes of every
-response a metadata record and, if its body is text or HTML, a conversion record. Both name the response
-in WARC-Refers-To and carry its target, its date and the digests of what they hold; the metadata keeps
-the response's own headers (HTTP status, fields and digests). serialise() writes a record as one gzip
-member, so any number of them can be put one after the other.
+parsed() turns WARC bytes (gzip members or plain) into records, one row each, one record in memory at a
+time; read() does so for files. derive() makes of every response a metadata record and, if its body is
+text or HTML, a conversion record. Both name the response in WARC-Refers-To and carry its target, its
+date and the digests of what they hold; the metadata keeps the response's own headers (HTTP status, fields
+and digests). serialise() writes a record as one gzip member, so any number of them can be put one after
+the other.
 
 Record ids of derivatives are name-based (UUID 5 of the response's id), so a task that runs again makes
 the same records. Nothing is shuffled: a response's derivatives are made where it is read.
 
-Edge cases: a null body is an empty one; a record without a type, an id or a complete header block is
-malformed and becomes a row with error set, never a crash; a body cut short keeps what is there and sets
-error; other record types have no derivatives; repeated responses give repeated records.
+Edge cases: null bytes or a null body are empty ones; bytes that begin no record become a row with error
+set, up to the next record; so does a record without a type or an id; a body cut short keeps what is there
+and sets error; a gzip member that is broken or cut short adds a row with error set and nothing else. A
+payload whose coding isn't known or doesn't decode has no conversion, and its metadata has error set. Other
+record types have no derivatives; repeated responses give repeated records; an empty table gives none; other
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 import zlib
@@ -49,8 +52,8 @@ def http_response(body: bytes, content_type: str = "text/html; charset=utf-8", s
     return f"HTTP/1.1 {status}\r\nContent-Type: {content_type}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
 
 
-def split_http(data: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, header fields (lower case; repeated ones joined) and payload of an HTTP message."""
+def split_http(data: bytes) -> tuple[str, dict[str, str], bytes, str | None]:
+    """Status line, header fields (lower case; repeated ones joined) and payload of an HTTP message, and why it isn't decoded."""
     head, gap, payload = data.partition(b"\r\n\r\n")
     if not gap:
         head, gap, payload = data.partition(b"\n\n")
@@ -64,15 +67,33 @@ def split_http(data: bytes) -> tuple[str, dict[str, str], bytes]:
     body = payload if gap else b""
     if "chunked" in fields.get("transfer-encoding", "").lower():
         body = _unchunked(body)
-    coding = fields.get("content-encoding", "").lower()
+    error = None
+    for coding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        if body and not error:
+            body, error = _decoded(body, coding.strip())
+    return lines[0] if lines else "", fields, body, error
+
+
+def _decoded(body: bytes, coding: str) -> tuple[bytes, str | None]:
+    """body without a content coding; if that fails body as it is, and why."""
     try:
-        if coding in ("gzip", "x-gzip"):
-            body = zlib.decompressobj(31).decompress(body)
-        elif coding == "deflate":
-            body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
-    except zlib.error:
-        pass
-    return lines[0] if lines else "", fields, body
+        if coding in ("", "identity"):
+            return body, None
+        if coding == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body), None
+        if coding in ("gzip", "x-gzip", "deflate"):
+            d = zlib.decompressobj(31 if coding != "deflate" else 15 if body[:1] == b"\x78" else -15)
+            plain = d.decompress(body) + d.flush()
+            return (plain, None) if d.eof else (body, f"{coding}: cut short")
+    except (zlib.error, ImportError) as e:
+        return body, f"{coding}: {e}"
+    except Exception as e:  # zstandard has an error class of its own
+        if type(e).__module__.partition(".")[0] != "zstandard":
+            raise
+        return body, f"{coding}: {e}"
+    return body, f"content coding {coding} isn't known"
 
 
 def _unchunked(data: bytes) -> bytes:
@@ -103,37 +124,86 @@ def plain_text(content_type: str, payload: bytes) -> str | None:
     return "\n".join(b.text for b in blocks(text)) if "html" in kind else text
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of WARC bytes, gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            try:
-                plain.append(member.decompress(rest))
-            except zlib.error as e:
-                plain.append(b"")
-                yield dict.fromkeys(RECORD.names) | {"error": f"gzip: {e}"}
-                break
-            rest = member.unused_data
-        data = b"".join(plain)
-    at = 0
+def plain_chunks(data: bytes, size: int = 1 << 20) -> Iterator[bytes | str]:
+    """The bytes that data holds, gzip members or plain, in pieces; a string is an error."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), size):
+            yield bytes(view[at : at + size])
+        return
     while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            yield dict.fromkeys(RECORD.names) | {"error": "no header block", "body": data[at:]}
+        if data[at : at + 2] != b"\x1f\x8b":
+            yield "gzip: bytes that aren't a member"
             return
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not member.eof:
+                piece = view[at : at + size]
+                found = member.decompress(piece)
+                at += len(piece) - len(member.unused_data)
+                if found:
+                    yield found
+        except zlib.error as e:
+            yield f"gzip: {e}"
+            return
+        if not member.eof:
+            yield "gzip: member cut short"
+
+
+class _Stream:
+    """Bytes that come in pieces, read from the front; errors on the way are kept."""
+
+    def __init__(self, chunks: Iterator[bytes | str]) -> None:
+        self.chunks, self.held, self.errors = chunks, bytearray(), []
+
+    def more(self) -> bool:
+        for c in self.chunks:
+            if isinstance(c, bytes):
+                self.held += c
+                return True
+            self.errors.append(c)
+        return False
+
+    def until(self, mark: bytes, start: int = 0) -> int:
+        """The first place of mark at start or later, -1 if there is none."""
+        while (at := self.held.find(mark, start)) < 0:
+            start = max(start, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return at
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """The records of WARC bytes, gzip members or plain; one is in memory at a time."""
+    stream = _Stream(plain_chunks(data))
+    while len(stream.held) >= 5 or stream.more() or stream.held:
+        if stream.held[:2] == b"\r\n":
+            stream.take(2)
+            continue
+        if len(stream.held) < 5 and stream.more():
+            continue
+        end = stream.until(b"\r\n\r\n") if stream.held[:5] == b"WARC/" else -1
+        if end < 0:
+            at = stream.until(b"\r\nWARC/")
+            yield dict.fromkeys(RECORD.names) | {"error": "no header block", "body": stream.take(at if at >= 0 else len(stream.held))}
+            continue
         headers = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in stream.take(end + 4)[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
                 headers[name.strip().lower()] = value.strip()
         size = headers.get("content-length", "")
-        body = data[end + 4 : end + 4 + int(size)] if size.isdecimal() else b""
-        error = "no content-length" if not size.isdecimal() else "cut short" if len(body) < int(size) else None if headers.get("warc-type") and headers.get("warc-record-id") else "no type or id"
+        sized = size.isascii() and size.isdecimal()
+        body = stream.take(int(size)) if sized else b""
+        error = "no content-length" if not sized else "cut short" if len(body) < int(size) else None if headers.get("warc-type") and headers.get("warc-record-id") else "no type or id"
         yield {
             "record_type": headers.get("warc-type"),
             "record_id": headers.get("warc-record-id"),
@@ -143,25 +213,29 @@ def parse(data: bytes) -> Iterator[dict]:
             "body": body,
             "error": error,
         }
-        at = end + 4 + len(body)
+    for error in stream.errors:
+        yield dict.fromkeys(RECORD.names) | {"error": error}
 
 
-def serialise(headers: dict[str, str], body: bytes, compress: bool = True) -> bytes:
+def serialise(headers: dict[str, str], body: bytes, compress: bool = True, level: int = 1) -> bytes:
     """A record as WARC 1.1 bytes; one gzip member if compress."""
     lines = "".join(f"{n}: {v}\r\n" for n, v in headers.items() if v is not None and n.lower() != "content-length")
     out = f"WARC/1.1\r\n{lines}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
-    return gzip.compress(out, mtime=0) if compress else out
+    if not compress:
+        return out
+    member = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return member.compress(out) + member.flush()
 
 
 def derivatives(record: dict) -> list[dict]:
     """Metadata and conversion of a response; none of any other record."""
     if record["record_type"] != "response" or not record["record_id"]:
         return []
-    status, fields, payload = split_http(bytes(record["body"] or b""))
+    status, fields, payload, undecoded = split_http(bytes(record["body"] or b""))
     source = record["headers"] or {}
     block = source.get("warc-block-digest") or digest(bytes(record["body"] or b""))
     pay = source.get("warc-payload-digest") or digest(payload)
-    text = plain_text(fields.get("content-type", ""), payload)
+    text = plain_text(fields.get("content-type", ""), payload) if undecoded is None else None
     conversion = derived_id(record["record_id"], "conversion") if text is not None else None
     about = [
         ("http-status", status),
@@ -197,28 +271,46 @@ def derivatives(record: dict) -> list[dict]:
                 "date": record["date"],
                 "headers": {k: v for k, v in headers.items() if v is not None},
                 "body": body,
-                "error": record.get("error"),
+                "error": record.get("error") or undecoded,
                 "refers_to": record["record_id"],
             }
         )
     return out
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the WARC files at path, with the file it is from.
+def parsed(files: DataFrame, bytes_col: str, keep: str | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
+    """One row for each record of the WARC bytes in bytes_col, with the column `keep` beside it.
 
-    A file is read by one task, as its format asks; files are the unit of distribution.
+    Records leave in batches of about batch_bytes.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = T.StructType([T.StructField("path", T.StringType()), *RECORD.fields])
+    kept = [T.StructField(keep, files.schema[keep].dataType)] if keep else []
+    out = T.StructType([*kept, *RECORD.fields])
 
     def rows(batches):
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                found = list(parse(content or b""))
-                yield {"path": [path] * len(found)} | {n: [r[n] for r in found] for n in RECORD.names}
+            made, held = {f.name: [] for f in out}, 0
+            for n, content in enumerate(b[bytes_col]):
+                for record in parse(content or b""):
+                    for f in RECORD.names:
+                        made[f].append(record[f])
+                    if keep:
+                        made[keep].append(b[keep][n])
+                    held += len(record["body"] or b"")
+                    if held > batch_bytes:
+                        yield made
+                        made, held = {f.name: [] for f in out}, 0
+            yield made
+
+    return map_rows(files.select(*[f.name for f in kept], bytes_col), rows, out)
 
-    return map_rows(files, rows, out)
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each record of the WARC files at path, with the file it is from.
+
+    A file is a row of Spark's binary source and read by one task, so files are the unit of distribution and
+    have to stay below that source's limit (2 GB); what they unpack to has no limit.
+    """
+    return parsed(spark.read.format("binaryFile").load(path).select("path", "content"), "content", "path")
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -267,8 +359,12 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    """Both derivatives of the response record of every page, by responses() and derive()."""
-    made = derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("page_id"))
+    """Both derivatives of the response record of every page, written as a gzip member and read again.
+
+    Pages have no date of their own; the records have that of responses().
+    """
+    members_ = members(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    made = derive(parsed(members_, "member"))
     return made.select(
         "record_type",
         "record_id",

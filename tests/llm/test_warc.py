@@ -25,6 +25,29 @@ def test_broken_records():
     assert [r["error"] for r in w.parse(b"WARC/1.0\r\nA: b\r\n\r\n")] == ["no content-length"]
     assert list(w.parse(b"")) == []
     assert any(r["error"] for r in w.parse(gzip.compress(b"WARC/1.0")[:-12] + b"\x00" * 4))
+    # what follows bytes of no record is read, and a member that is cut is told even if its record is whole
+    assert [r["error"] for r in w.parse(b"junk\r\n" + data + b"more junk")] == ["no header block", None, "no header block"]
+    member = w.serialise(headers, http)
+    for cut in (1, 8, 9):
+        got = list(w.parse(member + member[:-cut]))
+        assert got[0]["error"] is None and got[-1]["error"] == "gzip: member cut short" and got[0]["body"] == http
+    assert [r["error"] for r in w.parse(member + b"junk")] == [None, "gzip: bytes that aren't a member"]
+    assert [r["error"] for r in w.parse(member + member[:30] + b"\xff" * 40 + member[70:])][0] is None
+    assert list(w.parse(b"\r\n\r\n")) == [] and [r["error"] for r in w.parse(b"WARC")] == ["no header block"]
+
+
+def test_one_record_at_a_time():
+    """Bytes that unpack to 400 times their size are read without holding them."""
+    import tracemalloc
+
+    headers, _ = response()
+    big = w.serialise(headers, b"x" * 5_000_000)
+    data = big * 40
+    tracemalloc.start()
+    sizes = [len(r["body"]) for r in w.parse(data)]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sizes == [5_000_000] * 40 and peak < 40_000_000
 
 
 def test_http_bodies():
@@ -33,6 +56,15 @@ def test_http_bodies():
     body = b"%x\r\n%s\r\n0\r\n\r\n" % (len(z), z)
     assert w.split_http(chunked + body)[2] == b"hello"
     assert w.split_http(b"")[2] == b""
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: %s\r\n\r\n"
+    for coding, data in ((b"br", b"\x0b\x02\x80hello\x03"), (b"gzip", z[:-3]), (b"gzip", b"not gzip"), (b"zstd", b"not zstd"), (b"deflate", b"x")):
+        _, _, payload, error = w.split_http(head % coding + data)
+        assert payload == data and error
+        made = w.derivatives({"record_type": "response", "record_id": "<i>", "target_uri": None, "date": None, "headers": {}, "body": head % coding + data, "error": None})
+        assert [(m["record_type"], m["error"]) for m in made] == [("metadata", error)]
+    zstd = __import__("zstandard").compress(b"hello")
+    assert w.split_http(head % b"zstd" + zstd)[2:] == (b"hello", None)
+    assert w.split_http(head % b"gzip, zstd" + __import__("zstandard").compress(z))[2:] == (b"hello", None)
     assert w.plain_text("text/html", "<p>é</p>".encode()) == "é"
     assert w.plain_text("text/plain; charset=nonsense", b"x") == "x"
     assert w.plain_text("image/png", b"x") is None
@@ -59,6 +91,18 @@ def test_derivatives_are_linked(spark, tmp_path):
     assert all(r["headers"]["warc-block-digest"] == w.digest(r["body"]) for r in back)
 
 
+def test_bytes_of_any_kind(spark):
+    headers, http = response()
+    rows = [(1, None, "x"), (2, b"", "x"), (3, w.serialise(headers, http) * 2, "x"), (3, w.serialise(headers, http) * 2, "x"), (4, b"junk", None)]
+    df = spark.createDataFrame(rows, "n long, data binary, record_id string")
+    got = w.parsed(df, "data", "n").collect()
+    assert sorted((r.n, r.error) for r in got if r.error) == [(4, "no header block")]
+    assert [r.record_id for r in got if not r.error] == ["<urn:uuid:1>"] * 4
+    assert len(w.parsed(df, "data", "n", batch_bytes=1).collect()) == 5
+    assert w.parsed(df.limit(0), "data").count() == 0
+    assert w.derive(w.parsed(df, "data")).count() == 8
+
+
 def test_query(spark, data, save):
     rows = w.op4_warc(spark, data).toPandas()
     pages = spark.read.parquet(f"{data}/pages.parquet").toPandas()
