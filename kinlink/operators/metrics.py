@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.operators.decide import assign
+from kinlink.operators.decide import assign, odds_shift
+from kinlink.operators.splits import with_copies
 from kinlink.operators.windows import first_of
 
 
@@ -81,3 +85,21 @@ def repaired(pred: DataFrame, buckets: DataFrame, bucket: str) -> DataFrame:
     own = buckets.where(F.col("bucket") == bucket)
     fixed = own.where("true_e is not null").select("q_rid", F.col("true_e").alias("e_rid"))
     return pred.select("q_rid", "e_rid").join(own, "q_rid", "left_anti").unionByName(fixed)
+
+
+SHIFTS = (1.0, 0.7, 0.5, 0.35, 0.25)
+
+
+def prior_shift_search(scores: DataFrame, gt: DataFrame, entities: DataFrame, decision: Callable[[DataFrame], DataFrame], shifts: tuple[float, ...] = SHIFTS, copies: int = 1, truth: DataFrame | None = None) -> DataFrame:
+    """(r, f05, chosen): macro F0.5 of the decision on crowded scores whose odds are multiplied by each r.
+
+    Queries that match nothing in gt are copied `copies` times first; truth (gt, if None) is what F0.5 is measured by. The r of the greatest F0.5 is chosen, of equal
+    ones the greatest.
+    """
+    crowd = with_copies(scores.select("q_rid", "e_rid", "p"), gt, copies)
+    found = []
+    for r in shifts:
+        pred = decision(crowd.withColumn("p", odds_shift(F.col("p"), r))).join(entities.select("e_rid"), "e_rid", "left_semi")
+        found.append(macro_f05(pred, gt if truth is None else truth, entities).select(F.lit(r).alias("r"), "f05"))
+    grid = reduce(DataFrame.unionByName, found).withColumn("f05", F.round("f05", 12))
+    return grid.withColumn("chosen", F.row_number().over(Window.orderBy(F.desc("f05"), F.desc("r"))) == 1)  # a row a shift

@@ -38,11 +38,25 @@ def importance(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(features_of(model), map(float, gains), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def out_of_fold(rows: DataFrame, features: list[str], n: int = 5, fold: str = "fold", train_on=None, **settings) -> DataFrame:
-    """rows with p, each predicted by a model that saw no row of its fold; train_on filters what may be trained on."""
+def out_of_fold(rows: DataFrame, features: list[str], n: int = 5, fold: str = "fold", train_on=None, learn: DataFrame | None = None, **settings) -> DataFrame:
+    """rows with p, each predicted by a model that saw no row of its fold.
+
+    Models learn from rows, or from `learn` (with the same folds) if given; train_on filters what may be learned from.
+    """
     parts = []
     for k in range(n):
-        seen = rows.where(F.col(fold) != k)
+        seen = (rows if learn is None else learn).where(F.col(fold) != k)
         model = train(seen if train_on is None else seen.where(train_on), features, **settings)
         parts.append(predict(model, rows.where(F.col(fold) == k)))
     return reduce(DataFrame.unionByName, parts)
+
+
+def copy_check(rows: DataFrame, crowded: DataFrame, features: list[str], n: int = 5, **settings) -> DataFrame:
+    """(q_rid, e_rid, p_plain, p_crowded): what models say of rows that learned from rows, and from rows with copies.
+
+    If copies had taught a model no more than to know copies, it would do worse on rows, which hold none.
+    """
+    key = ["q_rid", "e_rid"]
+    plain = out_of_fold(rows, features, n, **settings).select(*key, F.col("p").alias("p_plain"))
+    other = out_of_fold(rows, features, n, learn=crowded, **settings).select(*key, F.col("p").alias("p_crowded"))
+    return plain.join(other, key)

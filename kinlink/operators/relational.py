@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keyed_upsert(full: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -39,6 +40,29 @@ def dense_rid(records: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("__at", place).join(F.broadcast(before), "__part").withColumn("rid", F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
+def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """df with chunk: in which run of `size` rows, in the order of the columns, a row is."""
+    return dense_rid(df, order).withColumn("chunk", F.floor(F.col("rid") / size).cast("long")).drop("rid")
+
+
+def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of schema in its order and types; those that df lacks are null, others are left out."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def suffixed(df: DataFrame, suffix: str) -> DataFrame:
+    """df with suffix at the end of every column's name."""
+    return df.select(*[F.col(c).alias(f"{c}{suffix}") for c in df.columns])
+
+
+def join_in_order(df: DataFrame, key: str, items: str, table: DataFrame, item: str, value: str) -> DataFrame:
+    """(key, value): for each row of df the value of each of its items in table (null without), in the items' order."""
+    one = df.select(key, F.posexplode(items).alias("__at", item)).join(table.select(item, value), item, "left")
+    lists = one.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__at", value))).alias("__all"))
+    return lists.select(key, F.transform("__all", lambda v: v[value]).alias(value))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 

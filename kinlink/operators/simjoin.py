@@ -1,7 +1,8 @@
 """TF-IDF weights and the cosine top-K similarity join, as an inverted index: an equi-join on tokens.
 
 A token that more than max_df records of the index hold is left out of the vocabulary, which bounds every
-join group on the index side; on the query side a hot token meets at most max_df rows each. Partial sums of
+join group on the index side. On the query side a token that over `salt_rows` records hold is dealt over
+several keys, each with the token's index rows, so no task meets all queries of a hot token. Partial sums of
 (query, entity) are combined before they are shuffled, and the top K are taken with a rank that Spark limits
 before its shuffle.
 """
@@ -31,46 +32,75 @@ def weighted(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.join(norm, "rid").select("rid", "tok", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("x"))
 
 
-def cosine_topk(queries: DataFrame, index: DataFrame, k: int, tag: str, threshold: float = 0.01, digits: int = 9, not_self: bool = False) -> DataFrame:
-    """(q_rid, e_rid, bs_tag, br_tag): the k best of index for each query, from weighted() tokens.
+def salts(queries: DataFrame, vocab: DataFrame, salt_rows: int) -> DataFrame:
+    """(tok, salts): over how many keys each token of vocab that queries hold is dealt; 1 for most."""
+    held = queries.groupBy("tok").agg(F.count("*").alias("n"))
+    return held.join(vocab.select("tok"), "tok").select("tok", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
+
+
+def dealt(queries: DataFrame, index: DataFrame, vocab: DataFrame, salt_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a column `salt` that they are to be joined by beside tok."""
+    n = salts(queries, vocab, salt_rows)
+    q = queries.join(n, "tok").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int")).drop("salts")
+    e = index.join(n, "tok").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return q, e
+
+
+def best_of(score: DataFrame, column: str, k: int, tag: str, threshold: float) -> DataFrame:
+    """(q_rid, e_rid, bs_tag, br_tag): the k best of each query by column; ties go to the lower e_rid."""
+    s = score.where(F.col(column) > threshold).select("q_rid", "e_rid", F.col(column).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("s"), "e_rid"))
+    return s.withColumn("r", rank).where(F.col("r") <= k).select("q_rid", "e_rid", F.col("s").alias(f"bs_{tag}"), F.col("r").alias(f"br_{tag}"))
+
+
+def cosine_topk(queries: DataFrame, index: DataFrame, vocab: DataFrame, k: int, tag: str, threshold: float = 0.01, digits: int = 9, not_self: bool = False, salt_rows: int = 50_000) -> DataFrame:
+    """(q_rid, e_rid, bs_tag, br_tag): the k best of index for each query, from weighted() tokens of vocab.
 
     Scores are rounded to `digits`, ties go to the lower e_rid.
     """
-    pair = queries.select(F.col("rid").alias("q_rid"), "tok", F.col("x").alias("xq")).join(index.select(F.col("rid").alias("e_rid"), "tok", F.col("x").alias("xe")), "tok")
+    q, e = dealt(queries, index, vocab, salt_rows)
+    pair = q.select(F.col("rid").alias("q_rid"), "tok", "salt", F.col("x").alias("xq")).join(e.select(F.col("rid").alias("e_rid"), "tok", "salt", F.col("x").alias("xe")), ["tok", "salt"])
     if not_self:
         pair = pair.where("q_rid <> e_rid")
-    score = pair.groupBy("q_rid", "e_rid").agg(F.round(F.sum(F.col("xq") * F.col("xe")), digits).alias("s")).where(F.col("s") > threshold)
-    rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("s"), "e_rid"))
-    return score.withColumn("r", rank).where(F.col("r") <= k).select("q_rid", "e_rid", F.col("s").alias(f"bs_{tag}"), F.col("r").alias(f"br_{tag}"))
-
+    score = pair.groupBy("q_rid", "e_rid").agg(F.round(F.sum(F.col("xq") * F.col("xe")), digits).alias("s"))
+    return best_of(score, "s", k, tag, threshold)
 
-def union_candidates(full: DataFrame, name: DataFrame) -> DataFrame:
-    """Both candidate sets; scores that one lacks are 0, ranks 99."""
-    return full.join(name, ["q_rid", "e_rid"], "full").select(
-        "q_rid",
-        "e_rid",
-        F.coalesce("bs_f", F.lit(0.0)).alias("bs_f"),
-        F.coalesce("br_f", F.lit(99)).alias("br_f"),
-        F.coalesce("bs_n", F.lit(0.0)).alias("bs_n"),
-        F.coalesce("br_n", F.lit(99)).alias("br_n"),
-    )
 
+def candidates(tokens: DataFrame, entities: DataFrame, queries: DataFrame, k_full: int = 20, k_name: int = 10, max_df: int = 3000, threshold: float = 0.01, digits: int = 9, salt_rows: int = 50_000) -> DataFrame:
+    """Candidates of queries among entities (rid each) from (rid, tok, name) tokens: by all of them, and by those of names.
 
-def candidates(full_tokens: DataFrame, name_tokens: DataFrame, entities: DataFrame, queries: DataFrame, k_full: int = 20, k_name: int = 10, max_df: int = 3000) -> DataFrame:
-    """Candidates of queries among entities (rid each) from (rid, tok) tables with and without addresses."""
-    out = []
-    for tokens, k, tag in ((full_tokens, k_full, "f"), (name_tokens, k_name, "n")):
-        own = tokens.join(entities.select("rid"), "rid", "left_semi")
-        vocab = vocabulary(own, count_of(entities), max_df)
-        out.append(cosine_topk(weighted(tokens.join(queries.select("rid"), "rid", "left_semi"), vocab), weighted(own, vocab), k, tag))
-    return union_candidates(*out)
+    Names are a part of the tokens, with the same frequencies, so one join serves both scores; scores that
+    a pair lacks among the best are 0, ranks 99.
+    """
+    own = tokens.join(entities.select("rid"), "rid", "left_semi")
+    vocab = vocabulary(own, count_of(entities), max_df)
+    name = F.col("name")
+
+    def weights(t: DataFrame) -> DataFrame:
+        w = t.join(vocab.select("tok", "w"), "tok")
+        square = F.col("w") * F.col("w")
+        norms = w.groupBy("rid").agg(F.sqrt(F.sum(square)).alias("full"), F.sqrt(F.sum(F.when(name, square).otherwise(0.0))).alias("part"))
+        unit = lambda c: F.col("w") / F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
+        return w.join(norms, "rid").select("rid", "tok", unit("full").alias("x"), F.when(name, unit("part")).alias("y"))
+
+    q, e = dealt(weights(tokens.join(queries.select("rid"), "rid", "left_semi")), weights(own), vocab, salt_rows)
+    side = lambda t, c: t.select(F.col("rid").alias(f"{c}_rid"), "tok", "salt", F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
+    score = (
+        side(q, "q").join(side(e, "e"), ["tok", "salt"]).groupBy("q_rid", "e_rid")
+        .agg(F.round(F.sum(F.col("xq") * F.col("xe")), digits).alias("f"), F.round(F.sum(F.col("yq") * F.col("ye")), digits).alias("n"))
+    )
+    full, part = best_of(score, "f", k_full, "f", threshold), best_of(score, "n", k_name, "n", threshold)
+    both = full.unionByName(part, allowMissingColumns=True).groupBy("q_rid", "e_rid")
+    fill = lambda c, v: F.coalesce(F.max(c), F.lit(v)).alias(c)
+    return both.agg(fill("bs_f", 0.0), fill("br_f", 99), fill("bs_n", 0.0), fill("br_n", 99))
 
 
 def neighbours(tokens: DataFrame, pool: DataFrame, k: int = 5, max_df: int = 3000) -> DataFrame:
     """(q_rid, r_rid, s, r_rank): the k records of pool most like each, itself excluded."""
     own = tokens.join(pool.select("rid"), "rid", "left_semi")
-    x = weighted(own, vocabulary(own, count_of(pool), max_df))
-    return cosine_topk(x, x, k, "nb", not_self=True).select("q_rid", F.col("e_rid").alias("r_rid"), F.col("bs_nb").alias("s"), F.col("br_nb").alias("r_rank"))
+    vocab = vocabulary(own, count_of(pool), max_df)
+    x = weighted(own, vocab)
+    return cosine_topk(x, x, vocab, k, "nb", not_self=True).select("q_rid", F.col("e_rid").alias("r_rid"), F.col("bs_nb").alias("s"), F.col("br_nb").alias("r_rank"))
 
 
 VIEWS = ("name", "addr", "num")
@@ -79,7 +109,8 @@ VIEWS = ("name", "addr", "num")
 def view_dots(pairs: DataFrame, tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """cos_, covq_, cove_, nq_ and ne_ of every view for pairs (q_rid, e_rid).
 
-    tokens has (rid, tok, view); weights come from entities, without a cut by frequency.
+    tokens has (rid, tok, view); weights come from entities, without a cut by frequency. Shares are rounded to
+    nine digits, so that ties don't depend on the order of sums.
     """
     own = tokens.join(entities.select("rid"), "rid", "left_semi")
     vocab = vocabulary(own, count_of(entities), None)
@@ -93,9 +124,9 @@ def view_dots(pairs: DataFrame, tokens: DataFrame, entities: DataFrame) -> DataF
     out = []
     for v in VIEWS:
         out += [
-            (F.col(f"{v}_ww") / F.greatest(F.col(f"q_{v}_norm") * F.col(f"e_{v}_norm"), F.lit(1e-6))).alias(f"cos_{v}"),
-            (F.col(f"{v}_w") / F.greatest(F.col(f"q_{v}_s"), F.lit(1e-6))).alias(f"covq_{v}"),
-            (F.col(f"{v}_w") / F.greatest(F.col(f"e_{v}_s"), F.lit(1e-6))).alias(f"cove_{v}"),
+            F.round(F.col(f"{v}_ww") / F.greatest(F.col(f"q_{v}_norm") * F.col(f"e_{v}_norm"), F.lit(1e-6)), 9).alias(f"cos_{v}"),
+            F.round(F.col(f"{v}_w") / F.greatest(F.col(f"q_{v}_s"), F.lit(1e-6)), 9).alias(f"covq_{v}"),
+            F.round(F.col(f"{v}_w") / F.greatest(F.col(f"e_{v}_s"), F.lit(1e-6)), 9).alias(f"cove_{v}"),
             F.col(f"q_{v}_n").cast("double").alias(f"nq_{v}"),
             F.col(f"e_{v}_n").cast("double").alias(f"ne_{v}"),
         ]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.operators.relational import dense_rid
+
 
 def hash_bucket(key: Column, n: int, seed: int) -> Column:
     """key, a whole number, in one of n buckets; integer arithmetic that other engines share."""
@@ -17,6 +19,12 @@ def sample(df: DataFrame, key: str, percent: int, seed: int) -> DataFrame:
     return df.where(hash_bucket(F.col(key), 100, seed) < percent)
 
 
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df with place: where a row stands (from 0) in an order that seed alone sets, for keys that are unique."""
+    mixed = df.withColumn("__mix", hash_bucket(F.col(key), 1_000_003, seed))
+    return dense_rid(mixed, ["__mix", key]).withColumnRenamed("rid", "place").drop("__mix")
+
+
 def folds(df: DataFrame, key: Column, n: int = 5, seed: int = 7) -> DataFrame:
     return df.withColumn("fold", hash_bucket(key, n, seed).cast("int"))
 

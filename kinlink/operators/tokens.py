@@ -59,3 +59,8 @@ def view_of(tok: Column) -> Column:
     """name, num or addr: which view a token belongs to."""
     kind, value = F.split_part(tok, F.lit("|"), F.lit(2)), F.split_part(tok, F.lit("|"), F.lit(3))
     return F.when((kind == "a") & value.startswith("#"), F.lit("num")).when(kind.isin("n", "m"), F.lit("name")).otherwise(F.lit("addr"))
+
+
+def name_marked(tokens: DataFrame) -> DataFrame:
+    """tokens with `name`: whether a token is of the name alone, that is not of the address."""
+    return tokens.withColumn("name", ~F.split_part("tok", F.lit("|"), F.lit(2)).isin("a", "b"))

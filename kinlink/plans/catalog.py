@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.operators import decide
-from kinlink.plans import fixtures, linkage_queries, table_queries, text_queries
+from kinlink.plans import fixtures, linkage_queries, storage_queries, table_queries, text_queries
 
-MODULES = (text_queries, table_queries, linkage_queries)
+MODULES = (text_queries, table_queries, linkage_queries, storage_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -1,5 +1,9 @@
 """Linkage records, ground truth and scores made of the driver's tables, in DataFrames and in SQL.
 
+The tables have no business names, so a document's first six words stand for a name and the next ten for
+an address; all documents are records. Records, candidates and links are settled once a session and folder of tables,
+as the linkage pipeline settles them: the first query that needs them makes them.
+
 Each view has two forms that must agree: a function of (spark, sf_dir), and a common table expression of
 the same name for DuckDB. with_sql() puts the expressions that a query needs before it.
 """
@@ -12,7 +16,10 @@ from pyspark.sql import functions as F
 from kinlink.functions import tables as t
 from kinlink.functions import textnorm as n
 from kinlink.operators import simjoin
-from kinlink.operators.tokens import tokenize, view_of
+from kinlink.operators.features import stage1_features
+from kinlink.operators.splits import folds, hash_bucket, label
+from kinlink.operators.tokens import name_marked, tokenize, view_of
+from kinlink.sources.tables import settled
 
 MARKED, PLAIN = "àâäáéèêëíîïóôöúûùüçñ", "aaaaeeeeiiiooouuuucn"
 #: What is put after a record's name and before its address, by record (fixed values).
@@ -25,9 +32,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_settled: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(name: str):
+    """Settles what a view makes, once a session and folder."""
+
+    def wrap(make):
+        def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir, name)
+            if key not in _settled:
+                _settled[key] = settled(make(spark, sf_dir))
+            return _settled[key]
+
+        view.__doc__ = make.__doc__
+        return view
+
+    return wrap
+
+
+#: Characters that are letters or digits of a word once they are lower-cased and without marks.
+_WORD = f"a-zA-Z0-9{MARKED}{MARKED.upper()}\u0130\u212A"
+
+
+@once("rec")
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rid, src, country, name, addr."""
-    text = F.translate(F.lower(F.coalesce("text", F.lit(""))), MARKED, PLAIN)
+    """rid, src, country, name (words 1 to 6 of the text) and addr (words 7 to 16)."""
+    # the pattern ends after the sixteenth word: what follows isn't normalised
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), f"^[^{_WORD}]*+(?:[{_WORD}]++[^{_WORD}]*+){{0,16}}+", 0)
+    text = F.translate(F.lower(head), MARKED, PLAIN)
     norm = F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]", " "), " +", " "))
     src = F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 2).otherwise(3)
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.split(norm, " ").alias("t")).select(
@@ -46,6 +79,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once("linkage_records")
 def linkage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec with the columns that the feature operators read."""
     r = rec(spark, sf_dir)
@@ -64,14 +98,71 @@ def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("src <> 1").join(e, ["name", "addr"]).select(F.col("rid").alias("q_rid"), "true_e")
 
 
+#: How a planted query differs from its entity, by the entity's hash (fixed values).
+_CHANGES = (
+    ("name", lambda w: F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1)))),
+    ("name", lambda w: F.concat(F.slice(w, 2, 1), F.slice(w, 1, 1), F.slice(w, 3, 20))),
+    ("name", lambda w: F.transform(w, lambda x, i: F.when(i == 0, F.concat(F.substring(x, 1, 1), F.substring(x, 3, 99))).otherwise(x))),
+    ("name", lambda w: F.concat(w, F.array(F.lit("trading")))),
+    ("addr", lambda w: F.slice(w, 2, 20)),
+    ("addr", lambda w: F.slice(w, 1, 3)),
+)
+
+
+@once("planted")
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for the models: entities of linkage_records, and two queries an entity, each changed in its own way.
+
+    A tenth of the entities is left out of src 1, so their queries match nothing. of is a query's entity.
+    """
+    e = linkage_records(spark, sf_dir).where("src = 1")
+    out = e.withColumn("of", F.col("rid")).where(hash_bucket(F.col("rid"), 10, 3) > 0)
+    base = e.agg((F.max("rid") + 1).alias("base"))
+    for k in (1, 2):
+        q = e.crossJoin(F.broadcast(base)).withColumn("how", hash_bucket(F.col("rid"), len(_CHANGES), 50 + k))
+        changed = {c: F.col(c) for c in ("name", "addr")}
+        q = q.withColumn("name", F.col("core"))
+        for at, (column, change) in enumerate(_CHANGES):
+            text = F.array_join(F.filter(change(F.filter(F.split(column, " "), lambda w: w != "")), lambda w: w != ""), " ")
+            changed[column] = F.when(F.col("how") == at, text).otherwise(changed[column])
+        q = q.withColumns(changed)
+        number = F.array_join(F.filter(n.words(F.col("addr")), lambda w: w.rlike("^[0-9]+$")), " ")
+        own = (F.col("rid") + F.col("base") * k).alias("rid")
+        q = q.select(
+            own, F.lit(k + 1).alias("src"), "country", *[F.col("name").alias(c) for c in ("business_name", "name_full", "core")], n.each_word(F.col("name"), n.skeleton).alias("core_sk"),
+            "legal", "alt", "addr", number.alias("nums"), "state", own.cast("string").alias("entity_id"), F.col("rid").alias("of"),
+        )
+        out = out.unionByName(q)
+    return out
+
+
+def planted_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_rid, true_e) of the planted queries whose entity is there."""
+    r = planted(spark, sf_dir)
+    return r.where("src <> 1").select(F.col("rid").alias("q_rid"), F.col("of").alias("true_e")).join(r.where("src = 1").select(F.col("rid").alias("true_e")), "true_e", "left_semi")
+
+
+@once("planted_features")
+def planted_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-stage features of the planted candidates with y and a fold; a query's fold is that of its entity."""
+    r = planted(spark, sf_dir)
+    cand = settled(simjoin.candidates(settled(name_marked(tokenize(r, True, True))), r.where("src = 1"), r.where("src <> 1")))
+    rows = label(stage1_features(cand, r), planted_truth(spark, sf_dir))
+    return folds(rows.join(r.select(F.col("rid").alias("q_rid"), "of"), "q_rid"), F.col("of"), 5)
+
+
 def tokens(spark: SparkSession, sf_dir: str, with_addr: bool = True) -> DataFrame:
     return tokenize(linkage_records(spark, sf_dir), with_addr, raw=True)
 
 
-def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates: q_rid, e_rid, bs_f, br_f, bs_n, br_n. Kept, as most queries use them more than once."""
+def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates: q_rid, e_rid, bs_f, br_f, bs_n, br_n, made anew."""
     r = linkage_records(spark, sf_dir)
-    return simjoin.candidates(tokenize(r, True, True), tokenize(r, False, True), r.where("src = 1"), r.where("src <> 1")).cache()
+    return simjoin.candidates(settled(name_marked(tokenize(r, True, True))), r.where("src = 1"), r.where("src <> 1"))
+
+
+#: The same, kept: most queries use them more than once.
+cand = once("cand")(blocked)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +170,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cand(spark, sf_dir).where("bs_f > 0").select("q_rid", "e_rid", F.col("bs_f").alias("p"))
 
 
+@once("links")
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_rid, r_rid, s, r_rank): like records of each query."""
     r = linkage_records(spark, sf_dir)
-    return simjoin.neighbours(tokenize(r, True, False), r.where("src <> 1")).cache()
+    return simjoin.neighbours(settled(tokenize(r, True, False)), r.where("src <> 1"))
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,3 +302,9 @@ def with_sql(query: str, *need: str) -> str:
     for name in need:
         visit(name)
     return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({CTES[name][-1]})" for name in order) + "\n" + query
+
+
+def more_sql(more: str, query: str, *need: str, recursive: bool = False) -> str:
+    """query after the expressions that it needs and those of `more`."""
+    found = with_sql("", *need).rstrip() + f",\n{more}\n{query}"
+    return found.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else found

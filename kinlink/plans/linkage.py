@@ -15,7 +15,7 @@ from kinlink.operators import decide as d
 from kinlink.operators import fine, graph, metrics, model, rates, simjoin, splits
 from kinlink.operators.features import FEATURES, stage1_features
 from kinlink.operators.relational import dense_rid
-from kinlink.operators.tokens import tokenize
+from kinlink.operators.tokens import name_marked, tokenize
 from kinlink.operators.windows import query_context
 from kinlink.sources.tables import TRUTH, load_config, read_tsv, save_config, settled, truth_pairs, write_lists
 
@@ -46,7 +46,7 @@ def records(sources: dict[int, DataFrame]) -> DataFrame:
 
 
 def block(rec: DataFrame, k_full: int = 20, k_name: int = 10, raw: bool = True) -> DataFrame:
-    return simjoin.candidates(tokenize(rec, True, raw), tokenize(rec, False, raw), rec.where("src = 1"), rec.where("src <> 1"), k_full, k_name)
+    return simjoin.candidates(settled(name_marked(tokenize(rec, True, raw))), rec.where("src = 1"), rec.where("src <> 1"), k_full, k_name)
 
 
 @dataclass
@@ -92,18 +92,15 @@ class Linker:
         feats = settled(stage1_features(cand.join(train_q, "q_rid", "left_semi"), rec))
         self.model1 = model.train(splits.label(feats, gt), FEATURES, **self.stage1)
         self.learn_rates(feats, rec, gt)
-        links = settled(simjoin.neighbours(tokenize(rec), rec.where("src <> 1")))
+        links = settled(simjoin.neighbours(settled(tokenize(rec)), rec.where("src <> 1")))
         scores = settled(self.score1(cand.join(held_q, "q_rid", "left_semi"), rec))
         x = settled(splits.label(self.context(scores, rec, links), gt))
         self.model2 = model.train(x, [*CONTEXT, *CARRIED, *fine.FINE, *graph.FEATURES], **self.stage2)
         second = settled(model.predict(self.model2, x, "p2").select("q_rid", "e_rid", F.col("p2").alias("p")))
-        found = {}
         truth = gt.join(held.withColumnRenamed("e_rid", "true_e"), "true_e", "left_semi")
-        for r in (1.0, 0.7, 0.5, 0.35, 0.25):
-            crowd = splits.with_copies(second, gt, 1).withColumn("p", d.odds_shift(F.col("p"), r))
-            pred = d.decide(crowd).join(held, "e_rid", "left_semi")
-            found[r] = metrics.macro_f05(pred, truth, held).first()[0]
-        self.shift = max(found, key=lambda r: (found[r], r))
+        grid = metrics.prior_shift_search(second, gt, held, d.decide, truth=truth).collect()
+        found = {row["r"]: row["f05"] for row in grid}
+        self.shift = next(row["r"] for row in grid if row["chosen"])
         self.choose(scores.select("q_rid", "e_rid", "p"), second, truth, held)
         return found
 
@@ -140,7 +137,7 @@ class Linker:
     def link(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Decided and all scored pairs of rec."""
         scores = settled(self.score1(settled(block(rec)), rec))
-        links = settled(simjoin.neighbours(tokenize(rec), rec.where("src <> 1")))
+        links = settled(simjoin.neighbours(settled(tokenize(rec)), rec.where("src <> 1")))
         blank = lambda new: self.score1(new.select("q_rid", "e_rid", F.lit(0.0).alias("bs_f"), F.lit(99).alias("br_f"), F.lit(0.0).alias("bs_n"), F.lit(99).alias("br_n")), rec)
         if self.stage == 1:
             return d.assign(scores, self.threshold), scores.select("q_rid", "e_rid", "p")

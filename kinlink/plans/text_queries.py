@@ -57,12 +57,12 @@ def norm_legal_strip(spark, sf):
     return x.raw(spark, sf).select("rid", n.strip_legal(name).alias("core"))
 
 
-_KIND_SQL = "CASE " + " ".join(
+KIND_SQL = "CASE " + " ".join(
     f"WHEN list_has_any(w, {x.sql_list(tells)})" + (f" OR list_contains(list_transform(w, lambda v: {sql_skeleton('v')}), 'prvt')" if kind == "pvt" else "") + f" THEN '{kind}'" for kind, tells in t.LEGAL_KINDS
 ) + " ELSE '' END"
 
 
-@query(with_sql(f"SELECT rid, {_KIND_SQL} AS legal FROM (SELECT rid, {sql_words('s')} AS w FROM ({_NAME_SQL}))", "raw"))
+@query(with_sql(f"SELECT rid, {KIND_SQL} AS legal FROM (SELECT rid, {sql_words('s')} AS w FROM ({_NAME_SQL}))", "raw"))
 def norm_legal_kind(spark, sf):
     name = n.clean(n.web_strip(n.to_ascii(F.col("business_name"))))
     return x.raw(spark, sf).select("rid", n.legal_kind(n.words(name)).alias("legal"))
@@ -74,16 +74,6 @@ def norm_aka_split(spark, sf):
     return x.raw(spark, sf).select("rid", F.array_join(n.aka_parts(name), "|").alias("parts"))
 
 
-@query(None)
-def name_parts(spark, sf):
-    return x.raw(spark, sf).select("rid", n.name_parts(F.col("business_name")).alias("p")).select("rid", "p.*")
-
-
-@query(None)
-def addr_parts(spark, sf):
-    return x.raw(spark, sf).select("rid", n.addr_parts(F.col("business_address"), F.col("cty")).alias("p")).select("rid", "p.addr", F.array_join("p.nums", " ").alias("nums"), "p.state")
-
-
 _PARTS_SQL = f"list_filter(list_transform(regexp_split_to_array({sql_ascii('business_address')}, '[,;|]'), lambda c: {sql_clean('c')}), lambda c: c <> '')"
 
 
@@ -106,6 +96,35 @@ def addr_state_lookup(spark, sf):
     return parts.select("rid", "part", F.coalesce(n.state_of(F.col("part"), F.col("cty")), F.lit("")).alias("state"))
 
 
+#: Every name of a record in order, with its words that count.
+CORES_SQL = f"""ns AS MATERIALIZED (SELECT rid, s, list_filter(list_transform(regexp_split_to_array(s, {sql_text(t.AKA)}), lambda p: trim(p)), lambda p: p <> '') AS ps FROM ({_NAME_SQL})),
+np AS MATERIALIZED (SELECT rid, s, unnest(CASE WHEN len(ps) = 0 THEN [''] ELSE ps END) AS p, unnest(range(1, greatest(len(ps), 1) + 1)) AS i FROM ns),
+nw AS MATERIALIZED (SELECT rid, s, i, {sql_words('p')} AS w FROM np),
+nc AS MATERIALIZED (SELECT rid, s, i, w, list_filter(w, lambda v: v NOT IN ({_DROPPED}) AND NOT (length(v) > 3 AND {sql_skeleton('v')} IN ({_LEGAL_KEYS}))) AS core, list_filter(w, lambda v: v NOT IN ({_STOP})) AS rest FROM nw),
+nk AS MATERIALIZED (SELECT rid, s, list(array_to_string({_CORE_SQL}, ' ') ORDER BY i) AS cores FROM nc GROUP BY ALL),
+names AS MATERIALIZED (SELECT rid, s AS name_full, cores[len(cores)] AS core, CASE WHEN len(cores) > 1 THEN cores[1] ELSE '' END AS alt FROM nk)"""
+
+
+@query(x.more_sql(CORES_SQL, f"SELECT rid, name_full, core, array_to_string(list_transform({sql_words('core')}, lambda v: {sql_skeleton('v')}), ' ') AS core_sk, alt, {KIND_SQL} AS legal FROM (SELECT *, {sql_words('name_full')} AS w FROM names)", "raw"))
+def name_parts(spark, sf):
+    return x.raw(spark, sf).select("rid", n.name_parts(F.col("business_name")).alias("p")).select("rid", "p.*")
+
+
+#: Components of addresses in order with the state that each tells, and their words as they count.
+_ADDRESS_SQL = f"""ac AS MATERIALIZED (SELECT rid, lower(cty) AS cty, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT rid, cty, {_PARTS_SQL} AS parts FROM raw)),
+ad AS MATERIALIZED (SELECT *, {_state_sql('part', 'cty')} AS st FROM (SELECT *, {sql_skeleton('flat')} AS sk FROM (SELECT *, replace(part, ' ', '') AS flat FROM ac))),
+aw AS MATERIALIZED (SELECT rid, cty, i, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS j FROM (SELECT rid, cty, i, {sql_words('part')} AS w FROM ad WHERE st IS NULL)),
+av AS MATERIALIZED (SELECT rid, cty, i, j, regexp_replace(v, '^([0-9]+)(st|nd|rd|th)$', '\\1') AS v FROM aw),
+atok AS MATERIALIZED (SELECT rid, i, j, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN regexp_replace(v, '^0+([0-9])', '\\1') WHEN cty = 'france' THEN {sql_case('v', t.ADDRESS_WORDS | t.ADDRESS_WORDS_FRANCE, 'v')} ELSE {sql_case('v', t.ADDRESS_WORDS, 'v')} END AS v FROM av),
+an AS MATERIALIZED (SELECT rid, i, j, unnest(ds) AS d, unnest(range(1, len(ds) + 1)) AS k FROM (SELECT rid, i, j, regexp_extract_all(v, '([0-9]+)') AS ds FROM atok))"""
+
+
+@query(x.more_sql(_ADDRESS_SQL, """SELECT rid, coalesce(addr, '') AS addr, coalesce(nums, '') AS nums, coalesce(state, '') AS state FROM raw LEFT JOIN (SELECT rid, string_agg(v, ' ' ORDER BY i, j) AS addr FROM atok GROUP BY rid) USING (rid)
+LEFT JOIN (SELECT rid, string_agg(regexp_replace(d, '^0+([0-9])', '\\1'), ' ' ORDER BY i, j, k) AS nums FROM an GROUP BY rid) USING (rid) LEFT JOIN (SELECT rid, arg_max(st, i) AS state FROM ad WHERE st IS NOT NULL GROUP BY rid) USING (rid)""", "raw"))
+def addr_parts(spark, sf):
+    return x.raw(spark, sf).select("rid", n.addr_parts(F.col("business_address"), F.col("cty")).alias("p")).select("rid", "p.addr", F.array_join("p.nums", " ").alias("nums"), "p.state")
+
+
 @query("SELECT c_custkey, regexp_replace(regexp_extract(c_name, '([0-9]+)', 1), '^0+([0-9])', '\\1') AS number FROM customer")
 def addr_number_canon(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", n.canonical_number(F.regexp_extract("c_name", "([0-9]+)", 1)).alias("number"))

@@ -24,8 +24,8 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Never quoted; '' and null are written as nothing."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("nullValue", "").csv(path)
+    """Never quoted; '' and null are written as nothing, spaces as they are."""
+    df.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def truth_pairs(truth: DataFrame, records: DataFrame) -> DataFrame:
@@ -53,15 +53,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_parts(df: DataFrame, key: str, path: str, n: int = 16) -> DataFrame:
     """df in n buckets of key under path; buckets that an earlier run finished aren't written again.
 
-    A bucket is complete once its _SUCCESS file is there, so a run that was stopped goes on where it was.
+    df is read once for all buckets that are missing. A bucket is complete once its file of `done` is there, which
+    is written after its rows, so a run that was stopped goes on where it was.
     """
     spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(n))
-    for k in range(n):
-        part = f"{path}/bucket={k}"
-        if not exists(spark, f"{part}/_SUCCESS"):
-            df.where(bucket == k).write.mode("overwrite").parquet(part)
-    return spark.read.option("basePath", path).parquet(*[f"{path}/bucket={k}" for k in range(n)]).drop("bucket")
+    missing = [k for k in range(n) if not exists(spark, f"{path}/done/{k}/_SUCCESS")]
+    if missing:
+        bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        rows = df.withColumn("bucket", bucket).where(F.col("bucket").isin(missing))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+        for k in missing:
+            spark.range(0).write.mode("overwrite").parquet(f"{path}/done/{k}")
+    return spark.read.parquet(f"{path}/rows").select(*df.columns)
+
+
+def drop_part(spark: SparkSession, path: str, k: int) -> None:
+    """Takes the mark of part k away, so that write_parts() makes it again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/{k}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cached(df_of, spark: SparkSession, base: str, name: str, **params) -> DataFrame:
@@ -73,19 +82,35 @@ def cached(df_of, spark: SparkSession, base: str, name: str, **params) -> DataFr
     return spark.read.parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table of the shared folder that spark.checkpoint.dir names: later plans begin there.
+def shared_path(spark: SparkSession, stem: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names.
 
-    Only where the session names none (local runs) a temporary folder is set.
+    Only where a local session names none a temporary folder is set; on a cluster that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="kinlink-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/kinlink-{stem}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: later plans begin there."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """df as Parquet with the usual compression, in place of what is there."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def id_range(df: DataFrame, key: str, first: int, end: int) -> DataFrame:
+    """The rows of df with a key from first to end (exclusive), by a filter that reaches the scan."""
+    return df.where((F.col(key) >= first) & (F.col(key) < end))
 
 
 def save_config(spark: SparkSession, config: dict, path: str) -> None:
