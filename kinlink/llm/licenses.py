@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import map_rows, schema
+from kinlink.llm.common import Spans, map_rows, schema
 
 #: Texts and notices of public licenses by SPDX id (fixed values).
 TEMPLATES = (
@@ -130,10 +130,10 @@ class Matcher:
                         places = [k for k, s in enumerate(shingles(window, size)) if s in common]
                         found.append((len(common), t, b + places[0], min(b + places[-1] + size, len(words)) - 1))
         spans = [(m.start(), m.end()) for m in _WORD.finditer(low)] if found else []
-        out, taken = [], []
+        out, taken = [], Spans([])
         for common, t, a, b in sorted(found, key=lambda x: (-x[0], self.names[x[1]], x[2], x[3])):
-            if all(b < c or d < a for c, d in taken):
-                taken.append((a, b))
+            if not taken.overlap(a, b + 1):
+                taken.add(a, b + 1)
                 out.append((self.names[t], spans[a][0], spans[b][1], common / len(self.sets[t])))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
