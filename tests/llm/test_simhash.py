@@ -195,7 +195,18 @@ def test_classes_of_a_table_equal_all_pairs(spark, data):
     assert sorted(r.doc_id for r in s.keep_one(docs).collect()) == [rows[i][0] for i in brute_kept(texts)]
 
 
-def test_band_links_span_the_buckets(spark):
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_band_links_span_the_buckets(spark, batch):
+    """Also where buckets lie across batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, batch)
+    try:
+        check_band_links(spark)
+    finally:
+        spark.conf.unset(name)
+
+
+def check_band_links(spark):
     rng = random.Random(1)
     rows = [(i, [rng.randrange(40) + 1000 * k for k in range(3)]) for i in range(300)] + [(1000 + i, [7, 8, 9]) for i in range(50)]
     df = spark.createDataFrame(rows, "node long, keys array<long>").repartition(7)
