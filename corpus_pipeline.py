@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class stays: SimHash links with a shingle similarity of 0.8 or more."""
+    """One row of each near-duplicate class stays: fingerprint or band links with a shingle similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -35,7 +35,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; no row goes."""
-    return secrets.redacted(docs)
+    import public_tokenizers
+
+    return secrets.redacted(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
