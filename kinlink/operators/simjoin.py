@@ -2,15 +2,21 @@
 
 A token that more than max_df records of the index hold is left out of the vocabulary, which bounds every
 join group on the index side. On the query side a token that over `salt_rows` records hold is dealt over
-several keys, each with the token's index rows, so no task meets all queries of a hot token. Partial sums of
-(query, entity) are combined before they are shuffled, and the top K are taken with a rank that Spark limits
-before its shuffle.
+several keys, each with the token's index rows, so no task meets all queries of a hot token. What a query meets
+comes as lists, one a token, to the task that has all of the query's tokens; there products are summed and the top K
+taken in Arrow batches, without a row for each pair. A query has no more than max_df pairs a token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def vocabulary(index_tokens: DataFrame, n_index: DataFrame, max_df: int | None = 3000) -> DataFrame:
@@ -46,24 +52,74 @@ def dealt(queries: DataFrame, index: DataFrame, vocab: DataFrame, salt_rows: int
     return q, e
 
 
-def best_of(score: DataFrame, column: str, k: int, tag: str, threshold: float) -> DataFrame:
-    """(q_rid, e_rid, bs_tag, br_tag): the k best of each query by column; ties go to the lower e_rid."""
-    s = score.where(F.col(column) > threshold).select("q_rid", "e_rid", F.col(column).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("s"), "e_rid"))
-    return s.withColumn("r", rank).where(F.col("r") <= k).select("q_rid", "e_rid", F.col("s").alias(f"bs_{tag}"), F.col("r").alias(f"br_{tag}"))
+def best_pairs(queries: DataFrame, index: DataFrame, kinds: list[tuple[str, str, int]], threshold: float, digits: int, not_self: bool = False) -> DataFrame:
+    """(q_rid, e_rid) and bs_tag and br_tag for each of kinds (weight column, tag, k): pairs that are among the k best by any.
 
+    queries and index come from dealt(). Scores are rounded to `digits`, ties go to the lower e_rid; where a pair isn't among the
+    best its score is 0 and its rank 99.
+    """
+    columns = [c for c, _, _ in kinds]
+    weight = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    lists = index.groupBy("tok", "salt").agg(F.sort_array(F.collect_list(F.struct(F.col("rid").alias("id"), *[weight(c) for c in columns]))).alias("all"))
+    lists = lists.select("tok", "salt", F.col("all.id").alias("ids"), *[F.col(f"all.{c}").alias(f"{c}s") for c in columns])
+    met = queries.join(lists, ["tok", "salt"]).select("rid", "tok", *[weight(c) for c in columns], "ids", *[f"{c}s" for c in columns])
+    met = met.repartition("rid").sortWithinPartitions("rid", "tok").drop("tok")
+    out = T.StructType([T.StructField("q_rid", T.LongType()), T.StructField("e_rid", T.LongType())])
+    for _, tag, _ in kinds:
+        out = out.add(f"bs_{tag}", T.DoubleType()).add(f"br_{tag}", T.IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # rows of the query that the last batch left open
+
+        def best(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            column = lambda n: t.column(n).chunk(0)
+            sizes = np.diff(column("ids").offsets.to_numpy())
+            q, e = np.repeat(column("rid").to_numpy(), sizes), column("ids").flatten().to_numpy()
+            order = np.lexsort((e, q))
+            q, e = q[order], e[order]
+            first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (e[1:] != e[:-1])])
+            found = []
+            for c in columns:
+                product = np.repeat(column(c).to_numpy(), sizes) * column(f"{c}s").flatten().to_numpy()
+                found.append(np.round(np.add.reduceat(product[order], first), digits))
+            q, e = q[first], e[first]
+            keep, result = np.zeros(len(q), bool), []
+            for s, (_, _, k) in zip(found, kinds, strict=True):
+                able = s > threshold
+                if not_self:
+                    able &= q != e
+                at = np.flatnonzero(able)
+                at = at[np.lexsort((e[at], -s[at], q[at]))]
+                starts = np.flatnonzero(np.r_[True, q[at][1:] != q[at][:-1]]) if len(at) else np.zeros(0, int)
+                rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)])) + 1
+                score, place = np.zeros(len(q)), np.full(len(q), 99, np.int32)
+                near = at[rank <= k]
+                score[near], place[near] = s[near], rank[rank <= k]
+                keep[near] = True
+                result += [score, place]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep], f.type) for c, f in zip([q, e, *result], to_arrow_schema(out), strict=True)], names=out.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rid = b.column("rid").to_numpy()
+            last = int(np.searchsorted(rid, rid[-1]))  # where the last query of the batch begins
+            if kept and (last or kept[-1].column("rid")[0].as_py() != rid[0]):
+                yield best([*kept, b.slice(0, last)] if last else kept)
+                kept = []
+            elif last:
+                yield best([b.slice(0, last)])
+            kept.append(b.slice(last))
+        if kept:
+            yield best(kept)
+
+    return met.mapInArrow(run, out)
 
-def cosine_topk(queries: DataFrame, index: DataFrame, vocab: DataFrame, k: int, tag: str, threshold: float = 0.01, digits: int = 9, not_self: bool = False, salt_rows: int = 50_000) -> DataFrame:
-    """(q_rid, e_rid, bs_tag, br_tag): the k best of index for each query, from weighted() tokens of vocab.
 
-    Scores are rounded to `digits`, ties go to the lower e_rid.
-    """
-    q, e = dealt(queries, index, vocab, salt_rows)
-    pair = q.select(F.col("rid").alias("q_rid"), "tok", "salt", F.col("x").alias("xq")).join(e.select(F.col("rid").alias("e_rid"), "tok", "salt", F.col("x").alias("xe")), ["tok", "salt"])
-    if not_self:
-        pair = pair.where("q_rid <> e_rid")
-    score = pair.groupBy("q_rid", "e_rid").agg(F.round(F.sum(F.col("xq") * F.col("xe")), digits).alias("s"))
-    return best_of(score, "s", k, tag, threshold)
+def cosine_topk(queries: DataFrame, index: DataFrame, vocab: DataFrame, k: int, tag: str, threshold: float = 0.01, digits: int = 9, not_self: bool = False, salt_rows: int = 50_000) -> DataFrame:
+    """(q_rid, e_rid, bs_tag, br_tag): the k best of index for each query, from weighted() tokens of vocab."""
+    return best_pairs(*dealt(queries, index, vocab, salt_rows), [("x", tag, k)], threshold, digits, not_self)
 
 
 def candidates(tokens: DataFrame, entities: DataFrame, queries: DataFrame, k_full: int = 20, k_name: int = 10, max_df: int = 3000, threshold: float = 0.01, digits: int = 9, salt_rows: int = 50_000) -> DataFrame:
@@ -83,16 +139,8 @@ def candidates(tokens: DataFrame, entities: DataFrame, queries: DataFrame, k_ful
         unit = lambda c: F.col("w") / F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
         return w.join(norms, "rid").select("rid", "tok", unit("full").alias("x"), F.when(name, unit("part")).alias("y"))
 
-    q, e = dealt(weights(tokens.join(queries.select("rid"), "rid", "left_semi")), weights(own), vocab, salt_rows)
-    side = lambda t, c: t.select(F.col("rid").alias(f"{c}_rid"), "tok", "salt", F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
-    score = (
-        side(q, "q").join(side(e, "e"), ["tok", "salt"]).groupBy("q_rid", "e_rid")
-        .agg(F.round(F.sum(F.col("xq") * F.col("xe")), digits).alias("f"), F.round(F.sum(F.col("yq") * F.col("ye")), digits).alias("n"))
-    )
-    full, part = best_of(score, "f", k_full, "f", threshold), best_of(score, "n", k_name, "n", threshold)
-    both = full.unionByName(part, allowMissingColumns=True).groupBy("q_rid", "e_rid")
-    fill = lambda c, v: F.coalesce(F.max(c), F.lit(v)).alias(c)
-    return both.agg(fill("bs_f", 0.0), fill("br_f", 99), fill("bs_n", 0.0), fill("br_n", 99))
+    both = dealt(weights(tokens.join(queries.select("rid"), "rid", "left_semi")), weights(own), vocab, salt_rows)
+    return best_pairs(*both, [("x", "f", k_full), ("y", "n", k_name)], threshold, digits)
 
 
 def neighbours(tokens: DataFrame, pool: DataFrame, k: int = 5, max_df: int = 3000) -> DataFrame:
