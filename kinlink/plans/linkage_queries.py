@@ -202,7 +202,8 @@ named AS MATERIALIZED (SELECT q_rid, e_rid, bs_f, br_f, bs_n, br_n, {side('q')},
         "len_aq": "length(aq)", "len_ae": "length(ae)", "q_src3": "CASE WHEN srcq = 3 THEN 1 ELSE 0 END", "num_covq": f"{shared} / greatest(len(mq), 1)", "num_qonly": f"len(mq) - {shared}",
     }
     gaps = {f"{g}_gap": f"{g} - CASE WHEN {g} = {g}_m1 AND {g}_n1 = 1 THEN {g}_m2 ELSE {g}_m1 END" for g in grouped}
-    out = ", ".join(f"round(CAST({(plain | gaps).get(f, f)} AS DOUBLE), 6) AS {f}" for f in feats.FEATURES)
+    # gaps are differences of figures of nine digits: at six, many would lie half-way
+    out = ", ".join(f"round(CAST({(plain | gaps).get(f, f)} AS DOUBLE), {9 if f in gaps else 6}) AS {f}" for f in feats.FEATURES)
     more = ",\n".join(
         [
             record, _DOT.strip(), f"dots AS MATERIALIZED (SELECT c.q_rid, c.e_rid, {cols} FROM cand c {joins})",
@@ -215,7 +216,8 @@ named AS MATERIALIZED (SELECT q_rid, e_rid, bs_f, br_f, bs_n, br_n, {side('q')},
 @query(_stage1_sql())
 def stage1_features(spark, sf):
     found = feats.stage1_features(x.cand(spark, sf), x.linkage_records(spark, sf))
-    return rounded(found, *feats.FEATURES)
+    gaps = [f"{c}_gap" for c in feats.GROUPED]
+    return rounded(rounded(found, *[c for c in feats.FEATURES if c not in gaps]), *gaps, digits=9)
 
 
 def _digits(spark, sf):
@@ -563,11 +565,12 @@ def gbt_stage1(spark, sf):
 _STAGE2 = ["p1", "q_gap", "q_max", "q_sum", "q_n10", "q_rank", "e_nwin_other", "e_psum", "e_rank", "e_pmax", "n_tset", "n_ratio", "cos_name", "cos_addr", "a_tset"]
 
 
+@x.once("stage2_rows")
 def _stage2_rows(spark, sf):
     """Second-stage rows: context of first-stage scores, which are out of fold."""
     first = settled(model.out_of_fold(x.planted_features(spark, sf), feats.FEATURES, 5, **_SMALL))
     context = context_of(first.select("q_rid", "e_rid", "y", "fold", "of", "p", "n_tset", "n_ratio", "cos_name", "cos_addr", "a_tset"))
-    return settled(context.withColumnRenamed("p", "p1"))
+    return context.withColumnRenamed("p", "p1")
 
 
 @query(None)
