@@ -100,10 +100,39 @@ ip 0 The timer showed ‹11:22:33:44› and rang
 """.strip().splitlines()
 
 
-def by_hand():
+#: Lines written after the model was settled, measured once; nothing was changed for them.
+FRESH = """
+email 1 Job applications: ‹hr (at) northwind-tools (dot) com›, no calls.
+email 1 ping ‹t.okafor[at]lab[dot]edu› if the cluster is down
+email 1 Escríbeme a ‹lucia @ correo.es› cuando llegues
+email 0 The seminar starts ‹promptly (at) eleven. Bring› a pen
+phone 1 Taxi from the station: ‹(030) 555 44 21›
+phone 1 Emergency? Dial ‹555-867-5309› now
+phone 1 You may leave word with my sister at ‹617.555.0163›.
+phone 1 Sekretariat, Telefon ‹0049 228 5550199›, nur vormittags
+phone 1 Whatsapp me: ‹917 555 0128›
+phone 0 Form ‹204-775-3381› must be signed twice.
+phone 0 The catalogue number is ‹415-220-9917›.
+phone 0 He scored ‹120 344 9921› points in the game
+phone 0 order ref ‹0047 118 2204331› was cancelled
+card 1 The hotel charged ‹5105/1051/0510/5100› twice, please refund.
+card 1 my amex-like card reads ‹3530. 1113. 3330. 0000›
+card 0 Batch ‹5105/1051/0510/5101› was scrapped.
+ssn 1 Her SSN, ‹321-54-9876›, was leaked.
+ssn 1 Please enter your Social Security Number (‹210-11-3344›) below
+ssn 0 Revision ‹321-54-9876› of the drawing is void.
+iban 1 Refund goes to ‹ES91 2100 0418 4502 0005 1332› within days
+iban 1 Bankverbindung: ‹CH9300762011623852957›
+iban 0 Article ‹ES00 2100 0418 4502 0005 1332› is out of stock.
+ip 1 traceroute stops at ‹2001:db8:0:1:1:1:1:1›
+ip 0 Lap times were ‹01:12:44:09› and slower
+""".strip().splitlines()
+
+
+def by_hand(lines=BY_HAND):
     """For each kind how many items are found rightly, found wrongly and missed."""
     d, out = pii.fit(), {}
-    for line in BY_HAND:
+    for line in lines:
         kind, label, text = line.split(" ", 2)
         a, b = text.index("‹"), text.index("›") - 1
         base, more = d.find([text.replace("‹", "").replace("›", "")])[0]
@@ -114,7 +143,7 @@ def by_hand():
 
 
 def test_lines_written_by_hand():
-    """The model's worth on wording that it wasn't fitted on; README has these figures."""
+    """Lines that the features and training sentences were worked on with: not an untouched measure. README has the figures."""
     got = by_hand()
     hit, wrong, missed = map(sum, zip(*got.values(), strict=True))
     assert hit / (hit + wrong) >= 0.9, got
@@ -122,6 +151,11 @@ def test_lines_written_by_hand():
     assert all(h > m for h, _, m in got.values()), got
 
 
+def test_lines_written_after_the_model_was_settled():
+    hit, wrong, missed = map(sum, zip(*by_hand(FRESH).values(), strict=True))
+    assert hit + missed == 15 and hit >= 12 and wrong <= 1
+
+
 def test_training_sentences_do_not_decide_alone():
     """The words that the features look for aren't drawn from the label: items of both labels stand without any of their kind."""
     import random
