@@ -85,3 +85,46 @@ def test_empty_tables(spark):
     s = spark.createDataFrame([], "q_rid long, e_rid long, p double")
     assert decide.assign(s, 0.1).count() == 0
     assert windows.query_context(s).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_pairs_that_share_a_token_are_not_shuffled(spark):
+    """300 entities and 1200 queries with 30 tokens in common meet 10.8 million times; records are all that is dealt."""
+    from kinlink.operators import simjoin
+
+    tokens = spark.range(1500).selectExpr("id AS rid", "explode(transform(sequence(1, 31), x -> IF(x < 31, 't' || x, 'own' || id % 250))) AS tok", "true AS name")
+    ids = spark.range(1500).withColumnRenamed("id", "rid")
+    before = shuffled(spark)
+    assert simjoin.candidates(tokens, ids.where("rid < 300"), ids.where("rid >= 300"), 5, 5, threshold=0.0).count() >= 6000
+    assert shuffled(spark) - before < 8e6
+
+
+def test_blocks_of_the_index_give_the_candidates_of_one(spark):
+    """Ranks of several blocks are those of the whole index, ties and scores by one kind included; a record isn't its own neighbour."""
+    from kinlink.operators import simjoin
+
+    words = [(i, f"w{(i * k) % p}", k < 4) for i in range(90) for k, p in ((1, 7), (2, 11), (3, 5), (5, 13))]
+    tokens = spark.createDataFrame(words, "rid long, tok string, name boolean").groupBy("rid", "tok").agg(F.max("name").alias("name"))
+    ids = spark.range(90).withColumnRenamed("id", "rid")
+    for make in (
+        lambda **how: simjoin.candidates(tokens, ids.where("rid < 40"), ids.where("rid >= 40"), 6, 3, **how),
+        lambda **how: simjoin.neighbours(tokens.drop("name"), ids, 4, **how),
+    ):
+        one, many = (sorted(map(tuple, make(**how).collect())) for how in ({}, {"block_rows": 7, "salt_rows": 11}))
+        assert one == many and one
+    assert all(q != r for q, r, *_ in one)
+
+
+def test_no_index_and_no_queries(spark):
+    from kinlink.operators import simjoin
+
+    tokens = spark.createDataFrame([(1, "a", True), (2, "a", False)], "rid long, tok string, name boolean")
+    ids = spark.range(3).withColumnRenamed("id", "rid")
+    assert simjoin.candidates(tokens, ids.where("rid > 5"), ids).count() == simjoin.candidates(tokens, ids, ids.where("rid > 5")).count() == 0
+    assert simjoin.neighbours(tokens.limit(0), ids).count() == 0
