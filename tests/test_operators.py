@@ -128,3 +128,17 @@ def test_no_index_and_no_queries(spark):
     ids = spark.range(3).withColumnRenamed("id", "rid")
     assert simjoin.candidates(tokens, ids.where("rid > 5"), ids).count() == simjoin.candidates(tokens, ids, ids.where("rid > 5")).count() == 0
     assert simjoin.neighbours(tokens.limit(0), ids).count() == 0
+
+
+def test_tokens_of_pairs_are_not_shuffled(spark):
+    """40,000 pairs of 40 tokens each: figures by hand, and only records and pairs are dealt."""
+    from kinlink.operators import simjoin
+
+    tokens = spark.range(400).selectExpr("id AS rid", "explode(transform(sequence(1, 41), x -> IF(x < 41, 'x|n|t' || x, 'x|n|own' || id))) AS tok", "'name' AS view")
+    pairs = spark.range(200).selectExpr("id + 200 AS q_rid", "explode(sequence(0L, 199L)) AS e_rid")
+    before = shuffled(spark)
+    got = simjoin.view_dots(pairs, tokens, spark.range(200).withColumnRenamed("id", "rid")).collect()
+    assert shuffled(spark) - before < 3e6
+    w, own = np.log(201) - np.log(200), np.log(201)
+    assert len(got) == 40000 and {(r.nq_name, r.ne_name, r.covq_name, r.nq_num) for r in got} == {(40.0, 41.0, 1.0, 0.0)}
+    assert got[0].cos_name == pytest.approx(40 * w * w / np.sqrt(40 * w * w) / np.sqrt(40 * w * w + own * own), abs=1e-9)
