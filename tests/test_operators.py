@@ -137,7 +137,11 @@ def test_tokens_of_pairs_are_not_shuffled(spark):
     tokens = spark.range(400).selectExpr("id AS rid", "explode(transform(sequence(1, 41), x -> IF(x < 41, 'x|n|t' || x, 'x|n|own' || id))) AS tok", "'name' AS view")
     pairs = spark.range(200).selectExpr("id + 200 AS q_rid", "explode(sequence(0L, 199L)) AS e_rid")
     before = shuffled(spark)
-    got = simjoin.view_dots(pairs, tokens, spark.range(200).withColumnRenamed("id", "rid")).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small tables are joined as large ones
+    try:
+        got = simjoin.view_dots(pairs, tokens, spark.range(200).withColumnRenamed("id", "rid")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffled(spark) - before < 3e6
     w, own = np.log(201) - np.log(200), np.log(201)
     assert len(got) == 40000 and {(r.nq_name, r.ne_name, r.covq_name, r.nq_num) for r in got} == {(40.0, 41.0, 1.0, 0.0)}
