@@ -112,3 +112,32 @@ def test_token_pairs(spark):
 def test_every_permutation_of_words_sorts_alike():
     for p in itertools.permutations(["ab", "cd", "ef"]):
         assert s.token_sort_text(" ".join(p), "ab cd ef") == 100
+
+
+SCORES = ("ratio", "token_sort", "token_set", "partial", "partial_token_set", "jaro_winkler", "best_word")
+
+
+@pytest.mark.parametrize("alphabet, longest, n", [("ab ", 9, 400), ("abcde é\U0001F600 ", 14, 400), ("abcdefgh ", 90, 150), ("abc d", 150, 60)])
+def test_scores_of_many_pairs_are_those_of_each(alphabet, longest, n):
+    """Short and long texts (more than 64 letters), empty ones, copies and texts of one length."""
+    import random
+
+    r = random.Random(longest)
+    text = lambda: "".join(r.choices(alphabet, k=r.randint(0, longest)))
+    a = [text() for _ in range(n)]
+    b = [text() if r.random() < 0.6 else x[r.randint(0, 2) :] + text()[: r.randint(0, 2)] for x in a]
+    for name in SCORES:
+        assert getattr(s, f"{name}_many")(a, b).tolist() == [getattr(s, f"{name}_text")(x, y) for x, y in zip(a, b, strict=True)], name
+
+
+def test_partial_scores_of_many_pairs_take_little_time():
+    """2000 pairs of ten words without a common one: at 1.7 ms each they took 3 s."""
+    import random
+    import time
+
+    r = random.Random(5)
+    text = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(10))
+    a, b = [text("etaoinx") for _ in range(2000)], [text("etaoiny") + " y" for _ in range(2000)]
+    began = time.process_time()
+    assert len(s.partial_token_set_many(a, b)) == 2000
+    assert time.process_time() - began < 1
