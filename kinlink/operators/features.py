@@ -86,21 +86,24 @@ def text_features() -> list[Column]:
 RECORD_COLUMNS = ["src", "business_name", "name_full", "core", "core_sk", "legal", "alt", "addr", "nums", "state"]
 
 
-def beside(pairs: DataFrame, records: DataFrame, columns: list[str] = RECORD_COLUMNS) -> DataFrame:
-    """pairs with the record columns of both sides, _q and _e; texts that are null are ''."""
+def texts_filled(records: DataFrame, columns: list[str]) -> DataFrame:
+    """rid and columns of records; texts that are null are ''."""
     texts = [n for n, kind in records.dtypes if kind == "string" and n != "business_name"]
-    full = records.na.fill("", texts)
-    for side in "qe":
-        pairs = pairs.join(full.select(F.col("rid").alias(f"{side}_rid"), *[F.col(c).alias(f"{c}_{side}") for c in columns]), f"{side}_rid")
-    return pairs
+    return records.na.fill("", texts).select("rid", *columns)
 
 
 def stage1_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(q_rid, e_rid) and FEATURES for candidates (with bs_f, br_f, bs_n, br_n) among records."""
+    """(q_rid, e_rid) and FEATURES for candidates (with bs_f, br_f, bs_n, br_n) among records; pairs of records that aren't there are left out.
+
+    Both sides' columns come with the sums over tokens, so pairs are shuffled once, by query, when their features are figures.
+    """
     tokens = tokenize(records).withColumn("view", view_of(F.col("tok")))
-    x = pairs.join(view_dots(pairs, tokens, records.where("src = 1")), ["q_rid", "e_rid"])
-    x = beside(x, records)
+    known = texts_filled(records, RECORD_COLUMNS).withColumn("rid_", F.col("rid"))
+    x = view_dots(pairs.select("q_rid", "e_rid", "bs_f", "br_f", "bs_n", "br_n"), tokens, records.where("src = 1"), known, [*RECORD_COLUMNS, "rid_"])
+    x = x.where("rid__q is not null and rid__e is not null")
     named = lambda side: F.when(F.length(f"core_{side}") > 0, F.col(f"core_{side}")).otherwise(F.col(f"name_full_{side}")).alias(f"c{side}")
     x = x.select("*", named("q"), named("e"))
-    x = x.select("*", *text_features(), F.count("*").over(Window.partitionBy("q_rid")).cast("double").alias("q_ncand"))
+    plain = ["bs_f", "br_f", "bs_n", "br_n", *[f"{k}_{v}" for v in VIEWS for k in ("cos", "covq", "cove", "nq", "ne")]]
+    x = x.select("q_rid", "e_rid", *plain, *text_features())
+    x = x.select("*", F.count("*").over(Window.partitionBy("q_rid")).cast("double").alias("q_ncand"))
     return gap_to_best_other(x, GROUPED, ranks=True).select("q_rid", "e_rid", *[F.col(c).cast("double").alias(c) for c in FEATURES])

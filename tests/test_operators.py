@@ -146,3 +146,33 @@ def test_tokens_of_pairs_are_not_shuffled(spark):
     w, own = np.log(201) - np.log(200), np.log(201)
     assert len(got) == 40000 and {(r.nq_name, r.ne_name, r.covq_name, r.nq_num) for r in got} == {(40.0, 41.0, 1.0, 0.0)}
     assert got[0].cos_name == pytest.approx(40 * w * w / np.sqrt(40 * w * w) / np.sqrt(40 * w * w + own * own), abs=1e-9)
+
+
+def met_table(spark):
+    """400 records of six own words and ten of an address, and the 40,000 pairs of two halves."""
+    word = lambda salt: F.lower(F.substring(F.translate(F.sha2(F.concat("rid", F.lit(salt)), 256), "0123456789", "ghijklmnop"), 1, 6))
+    text = lambda kind, n: F.concat_ws(" ", *[word(f"{kind}{k}") for k in range(n)])
+    r = spark.range(400).withColumnRenamed("id", "rid").withColumn("core", text("n", 6)).select(
+        "rid", F.when(F.col("rid") < 200, 1).otherwise(2).alias("src"), F.lit("US").alias("country"), *[F.col("core").alias(c) for c in ("business_name", "name_full", "core", "core_sk")], F.lit("").alias("legal"), F.lit("").alias("alt"),
+        text("a", 10).alias("addr"), F.concat_ws(" ", F.col("rid"), F.lit("12")).alias("nums"), F.lit("").alias("state"), F.col("rid").cast("string").alias("entity_id"),
+    )
+    pairs = spark.range(200).selectExpr("id + 200 AS q_rid", "explode(sequence(0L, 199L)) AS e_rid", "0.5D AS bs_f", "1 AS br_f", "0.5D AS bs_n", "1 AS br_n", "0.5D AS p")
+    return r, pairs
+
+
+def bytes_shuffled(spark, df):
+    """What writing df shuffles, small tables being joined as large ones."""
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df().write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return shuffled(spark) - before
+
+
+def test_texts_of_pairs_are_not_shuffled(spark):
+    from kinlink.operators.features import stage1_features
+
+    r, pairs = met_table(spark)
+    assert bytes_shuffled(spark, lambda: stage1_features(pairs.where("q_rid < 240"), r)) < 2e6
