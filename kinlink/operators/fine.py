@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions import tables as t
-from kinlink.functions.strsim import best_word_match
+from kinlink.functions.strsim import best_word_many
 from kinlink.functions.textnorm import skeleton, words
-from kinlink.operators.features import beside
 from kinlink.operators.rates import first_numbers, signatures
+from kinlink.operators.simjoin import met_pairs, pair_cells
 
 ALIGN = ["un", "unidf", "unfrac", "unlen", "worst"]
 FINE = [
@@ -67,79 +69,95 @@ def title_words(full: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(full, F.lit("")), F.lit("([a-z0-9]+)"), 1), lambda w: w.isin(t.TITLES)))
 
 
-def alignment(pairs: DataFrame, own: str, other: str, df: DataFrame, n_entities: DataFrame, prefix: str) -> DataFrame:
-    """(q_rid, e_rid) and five columns on the words of `own` that `other` (word arrays) lacks.
+def lacking(words_: Column, other: Column) -> Column:
+    return F.filter(words_, lambda r: ~F.array_contains(other, r.w))
+
+
+@F.pandas_udf(", ".join(f"{c} double" for c in ALIGN))
+def alignment(own: pd.Series, sks: pd.Series, idfs: pd.Series, other: pd.Series, other_sks: pd.Series) -> pd.DataFrame:
+    """Five figures on the words of `own` (with skeletons and idf) that `other` lacks; without words 0, the worst score 100.
 
     A word is there if its skeleton is, else by its best ratio with a word of the other side (under 75: not).
     """
-    one = pairs.select("q_rid", "e_rid", F.explode(own).alias("w"), F.transform(other, skeleton).alias("sks"), F.array_join(other, " ").alias("others"))
-    one = one.select("q_rid", "e_rid", "w", "others", skeleton(F.col("w")).alias("sk"), "sks").join(df, "sk", "left").join(F.broadcast(n_entities))
-    idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
-    score = F.when(F.array_contains("sks", F.col("sk")), 100.0).otherwise(best_word_match("w", "others"))
-    scored = one.select("q_rid", "e_rid", "w", idf.alias("idf"), score.alias("s"))
-    out = F.col("s") < 75
-    total = F.sum("idf")
-    found = scored.groupBy("q_rid", "e_rid").agg(
-        F.sum(out.cast("double")).alias("un"),
-        F.sum(F.when(out, F.col("idf")).otherwise(0.0)).alias("unidf"),
-        (F.sum(F.when(out, F.col("idf")).otherwise(0.0)) / F.greatest(total, F.lit(1e-6))).alias("unfrac"),
-        F.max(F.when(out, F.length("w")).otherwise(0)).cast("double").alias("unlen"),
-        F.min("s").alias("worst"),
-    )
-    return found.select("q_rid", "e_rid", *[F.col(c).alias(f"{prefix}_{c}") for c in ALIGN])
+    sizes = own.map(len).to_numpy(int)
+    row = np.repeat(np.arange(len(own)), sizes)
+    flat = lambda column: [x for part in column for x in part]
+    words_, idf = flat(own), np.array(flat(idfs), float)
+    found = [sk in these for part, these in zip(sks, map(set, other_sks), strict=True) for sk in part]
+    score = np.full(len(row), 100.0)
+    joined = [" ".join(part) for part in other]
+    unsure = np.flatnonzero(~np.array(found, bool))
+    place: dict[tuple[str, str], int] = {}
+    at = [place.setdefault((words_[i], joined[row[i]]), len(place)) for i in unsure.tolist()]
+    if place:
+        score[unsure] = best_word_many([w for w, _ in place], [o for _, o in place])[at]
+    out = score < 75
+    total = lambda x: np.bincount(row, x, len(own))
+    un, unidf, longest, worst = total(out.astype(float)), total(np.where(out, idf, 0.0)), np.zeros(len(own)), np.full(len(own), 100.0)
+    np.maximum.at(longest, row, np.where(out, np.fromiter(map(len, words_), float, len(words_)), 0.0))
+    np.minimum.at(worst, row, score)
+    return pd.DataFrame({"un": un, "unidf": unidf, "unfrac": unidf / np.maximum(total(idf), 1e-6), "unlen": longest, "worst": worst}, index=own.index)
+
+
+def extra_rates(extra: Column, prefix: str) -> list[Column]:
+    """The least and greatest rate among extra words (w, rate), -1 if there is none, and how many have none."""
+    rates = F.transform(extra, lambda r: r.rate)
+    return [
+        F.coalesce(F.array_min(rates), F.lit(-1.0)).alias(f"{prefix}_min"),
+        F.coalesce(F.array_max(rates), F.lit(-1.0)).alias(f"{prefix}_max"),
+        F.size(F.filter(rates, lambda r: r.isNull())).cast("double").alias(f"{prefix}_unk"),
+    ]
 
 
-def rate_map(rates: DataFrame, side: str) -> DataFrame:
-    return rates.where(F.col("side") == side).select("w", "rate")
+def record_words(records: DataFrame, word_rates: DataFrame) -> DataFrame:
+    """What the features need of each record: words of its name with skeletons, idf and rates, and its legal words, titles and numbers."""
+    entities = records.where("src = 1")
+    df, n = skeleton_df(entities), entities.agg(F.count("*").alias("n"))
+    one = records.select("rid", F.posexplode(words(F.col("core"))).alias("at", "w")).withColumn("sk", skeleton(F.col("w")))
+    rate = lambda side: word_rates.where(F.col("side") == side).select("w", F.col("rate").alias(f"rate_{side}"))
+    one = one.join(df, "sk", "left").join(F.broadcast(n)).join(rate("q"), "w", "left").join(rate("e"), "w", "left")
+    idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    listed = one.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "w", "sk", idf.alias("idf"), "rate_q", "rate_e"))).alias("all"))
+    kept = F.filter("all", lambda r: ~r.w.isin(t.LEGAL_EXTRA))
+    part = lambda rows, name, kind: F.coalesce(F.transform(rows, lambda r: r[name]), F.array().cast(f"array<{kind}>"))
+    rated = lambda side: F.coalesce(F.array_distinct(F.transform("all", lambda r: F.struct(r.w.alias("w"), r[f"rate_{side}"].alias("rate")))), F.array().cast("array<struct<w:string,rate:double>>"))
+    return records.join(listed, "rid", "left").select(
+        "rid", F.col("rid").alias("there"), F.coalesce("legal", F.lit("")).alias("legal"), F.coalesce("country", F.lit("")).alias("country"), part("all", "w", "string").alias("t"),
+        part(kept, "w", "string").alias("w"), part(kept, "sk", "string").alias("sk"), part(kept, "idf", "double").alias("idf"), rated("q").alias("rq"), rated("e").alias("re"),
+        first_numbers(F.coalesce("nums", F.lit(""))).alias("n"), legal_words(F.col("name_full")).alias("l"), title_words(F.col("name_full")).alias("h"),
+    )
 
 
-def extra_rates(pairs: DataFrame, extra: str, rates: DataFrame, side: str, prefix: str) -> DataFrame:
-    """(q_rid, e_rid) with the least and greatest rate among extra words and how many have none."""
-    x = pairs.select("q_rid", "e_rid", F.explode_outer(extra).alias("w")).join(rate_map(rates, side), "w", "left")
-    return x.groupBy("q_rid", "e_rid").agg(
-        F.coalesce(F.min("rate"), F.lit(-1.0)).alias(f"{prefix}_min"),
-        F.coalesce(F.max("rate"), F.lit(-1.0)).alias(f"{prefix}_max"),
-        F.sum((F.col("w").isNotNull() & F.col("rate").isNull()).cast("double")).alias(f"{prefix}_unk"),
-    )
+COLUMNS = {"q": ["there", "legal", "country", "t", "w", "sk", "idf", "rq", "n", "l", "h"], "e": ["there", "legal", "t", "w", "sk", "idf", "re", "n", "l", "h"]}
 
 
-def fine_features(pairs: DataFrame, records: DataFrame, word_rates: DataFrame, sig_rates: DataFrame) -> DataFrame:
-    """(q_rid, e_rid) and FINE for pairs among records."""
-    x = beside(pairs.select("q_rid", "e_rid"), records, ["core", "name_full", "nums", "legal", "country"])
-    kept = lambda c: F.filter(words(F.col(c)), lambda w: ~w.isin(t.LEGAL_EXTRA))
-    nq, ne = first_numbers(F.col("nums_q")), first_numbers(F.col("nums_e"))
+def fine_features(pairs: DataFrame, records: DataFrame, word_rates: DataFrame, sig_rates: DataFrame, block_rows: int = 200_000) -> DataFrame:
+    """(q_rid, e_rid) and FINE for pairs among records; pairs of records that aren't there are left out.
+
+    What a feature needs of a record is put together once for each record and dealt as in met_pairs(), so a pair's words aren't shuffled.
+    Signatures are few (kinds of edits, legal forms, countries), so their rates are broadcast.
+    """
+    keys, c = pairs.select("q_rid", "e_rid"), F.col
+    cells = pair_cells(pairs.sparkSession, keys.select("q_rid").distinct().count(), records.where("src = 1").count(), block_rows)
+    x = met_pairs(keys, record_words(records, word_rates), cells, list(dict.fromkeys(COLUMNS["q"] + COLUMNS["e"]))).where("there_q is not null and there_e is not null")
+    sig = signatures(c("t_q"), c("t_e"), c("n_q"), c("n_e"), c("legal_q"), c("legal_e"), c("country_q"))
+    aligned = lambda a, b: alignment(f"w_{a}", f"sk_{a}", f"idf_{a}", f"w_{b}", f"sk_{b}").alias(f"f{a}")
     x = x.select(
-        "q_rid", "e_rid", "name_full_q", "name_full_e", "legal_q", "legal_e", "country_q",
-        kept("core_q").alias("wq"), kept("core_e").alias("we"), words(F.col("core_q")).alias("tq"), words(F.col("core_e")).alias("te"), nq.alias("nq"), ne.alias("ne"),
-    )
-    sig = signatures(F.col("tq"), F.col("te"), F.col("nq"), F.col("ne"), F.col("legal_q"), F.col("legal_e"), F.col("country_q"))
-    lq, le, tq, te = legal_words(F.col("name_full_q")), legal_words(F.col("name_full_e")), title_words(F.col("name_full_q")), title_words(F.col("name_full_e"))
-    first_q, first_e = F.get("wq", 0), F.get("we", 0)
-    plain = x.select(
         "q_rid", "e_rid",
-        F.coalesce(((first_q == first_e) | (skeleton(first_q) == skeleton(first_e))).cast("double"), F.lit(0.0)).alias("f_first_eq"),
-        F.size(F.array_except(lq, le)).cast("double").alias("f_legal_qonly"),
-        F.size(F.array_except(le, lq)).cast("double").alias("f_legal_eonly"),
-        (F.size(F.array_except(tq, te)) + F.size(F.array_except(te, tq))).cast("double").alias("f_title_diff"),
-        F.arrays_overlap(tq, te).cast("double").alias("f_title_shared"),
-        *number_gaps(F.col("nq"), F.col("ne")),
-        *number_edits(F.col("nq"), F.col("ne")),
-        sig[0].alias("fine"), sig[1].alias("coarse"),
+        F.coalesce(((F.get("w_q", 0) == F.get("w_e", 0)) | (F.get("sk_q", 0) == F.get("sk_e", 0))).cast("double"), F.lit(0.0)).alias("f_first_eq"),
+        F.size(F.array_except("l_q", "l_e")).cast("double").alias("f_legal_qonly"),
+        F.size(F.array_except("l_e", "l_q")).cast("double").alias("f_legal_eonly"),
+        (F.size(F.array_except("h_q", "h_e")) + F.size(F.array_except("h_e", "h_q"))).cast("double").alias("f_title_diff"),
+        F.arrays_overlap("h_q", "h_e").cast("double").alias("f_title_shared"),
+        *number_gaps(c("n_q"), c("n_e")),
+        *number_edits(c("n_q"), c("n_e")),
+        *extra_rates(lacking(c("rq_q"), c("t_e")), "f_xq"),
+        *extra_rates(lacking(c("re_e"), c("t_q")), "f_xe"),
+        sig[0].alias("fine"), sig[1].alias("coarse"), aligned("q", "e"), aligned("e", "q"),
     )
-    entities = records.where("src = 1")
-    df, n = skeleton_df(entities), entities.agg(F.count("*").alias("n"))
-    key = ["q_rid", "e_rid"]
-    sets = x.select(*key, F.array_except("tq", "te").alias("xq"), F.array_except("te", "tq").alias("xe"))
     rate = lambda kind, name: sig_rates.where(F.col("kind") == kind).select(F.col("sig").alias(kind), F.col("rate").alias(name), F.col("n").alias(f"{kind}_n"))
-    out = (
-        plain.join(alignment(x, "wq", "we", df, n, "fq"), key, "left")
-        .join(alignment(x, "we", "wq", df, n, "fe"), key, "left")
-        .join(extra_rates(sets, "xq", word_rates, "q", "f_xq"), key, "left")
-        .join(extra_rates(sets, "xe", word_rates, "e", "f_xe"), key, "left")
-        .join(rate("fine", "r_fine"), "fine", "left")
-        .join(rate("coarse", "r_coarse"), "coarse", "left")
-    )
-    out = out.na.fill(100.0, ["fq_worst", "fe_worst"]).na.fill(0.0, [f"{p}_{c}" for p in ("fq", "fe") for c in ALIGN[:-1]])
+    out = x.join(F.broadcast(rate("fine", "r_fine")), "fine", "left").join(F.broadcast(rate("coarse", "r_coarse")), "coarse", "left")
+    out = out.select("*", *[F.col(f"f{side}.{k}").alias(f"f{side}_{k}") for side in "qe" for k in ALIGN])
     out = out.withColumns(
         {
             "f_sig_rate": F.coalesce("r_fine", "r_coarse", F.lit(-1.0)),
@@ -147,4 +165,4 @@ def fine_features(pairs: DataFrame, records: DataFrame, word_rates: DataFrame, s
             "f_sig2_rate": F.coalesce("r_coarse", F.lit(-1.0)),
         }
     )
-    return out.select(*key, *FINE)
+    return out.select("q_rid", "e_rid", *FINE)

@@ -176,3 +176,13 @@ def test_texts_of_pairs_are_not_shuffled(spark):
 
     r, pairs = met_table(spark)
     assert bytes_shuffled(spark, lambda: stage1_features(pairs.where("q_rid < 240"), r)) < 2e6
+
+
+def test_words_of_pairs_are_not_shuffled(spark):
+    from kinlink.operators.fine import FINE, fine_features
+
+    r, pairs = met_table(spark)
+    words = spark.createDataFrame([("abc", "q", 5, 0.5)], "w string, side string, n long, rate double")
+    sigs = spark.createDataFrame([("drop|a2|r2", "coarse", 5, 0.5)], "sig string, kind string, n long, rate double")
+    assert fine_features(pairs.where("q_rid < 203"), r, words, sigs).select(*FINE).na.drop().count() == 600
+    assert bytes_shuffled(spark, lambda: fine_features(pairs, r, words, sigs)) < 2e6
