@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinlink.functions import tables as t
 from kinlink.functions.strsim import best_word_many
@@ -73,7 +74,7 @@ def lacking(words_: Column, other: Column) -> Column:
     return F.filter(words_, lambda r: ~F.array_contains(other, r.w))
 
 
-@F.pandas_udf(", ".join(f"{c} double" for c in ALIGN))
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ALIGN]))
 def alignment(own: pd.Series, sks: pd.Series, idfs: pd.Series, other: pd.Series, other_sks: pd.Series) -> pd.DataFrame:
     """Five figures on the words of `own` (with skeletons and idf) that `other` lacks; without words 0, the worst score 100.
 
