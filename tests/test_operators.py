@@ -121,6 +121,28 @@ def test_blocks_of_the_index_give_the_candidates_of_one(spark):
     assert all(q != r for q, r, *_ in one)
 
 
+def test_copies_of_the_index_follow_the_rows_and_not_the_cores():
+    from types import SimpleNamespace
+
+    from kinlink.operators import simjoin
+
+    wide = SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=1000))
+    for n_queries, n_index in ((340_000, 170_000), (2_000, 1_000), (500, 40_000)):
+        groups, blocks = simjoin.cells_of(wide, n_queries, n_index, 250_000, 500_000)
+        assert groups * n_index <= max(simjoin.SPREAD * n_queries, -(-n_queries // 250_000) * n_index)
+    assert simjoin.cells_of(wide, 10_000_000, 5_000_000, 250_000, 500_000) == (40, 10)
+
+
+def test_shuffled_tokens_are_given_back_before_records_are_dealt(spark):
+    """What is left to run begins at settled records, so no shuffle of tokens stays on the disk beside that of records."""
+    from kinlink.operators import simjoin
+
+    tokens = spark.range(60).selectExpr("id AS rid", "explode(array('a' || id % 7, 'b' || id % 5)) AS tok", "true AS name")
+    ids = spark.range(60).withColumnRenamed("id", "rid")
+    for df in (simjoin.candidates(tokens, ids.where("rid < 20"), ids.where("rid >= 20"), 5, 5), simjoin.neighbours(tokens.drop("name"), ids, 4)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_no_index_and_no_queries(spark):
     from kinlink.operators import simjoin
 
