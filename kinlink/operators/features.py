@@ -92,18 +92,18 @@ def texts_filled(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.na.fill("", texts).select("rid", *columns)
 
 
-def stage1_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(q_rid, e_rid) and FEATURES for candidates (with bs_f, br_f, bs_n, br_n) among records; pairs of records that aren't there are left out.
+def stage1_features(pairs: DataFrame, records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(q_rid, e_rid), FEATURES and the columns keep for candidates (with bs_f, br_f, bs_n, br_n) among records; pairs of records that aren't there are left out.
 
     Both sides' columns come with the sums over tokens, so pairs are shuffled once, by query, when their features are figures.
     """
     tokens = tokenize(records).withColumn("view", view_of(F.col("tok")))
     known = texts_filled(records, RECORD_COLUMNS).withColumn("rid_", F.col("rid"))
-    x = view_dots(pairs.select("q_rid", "e_rid", "bs_f", "br_f", "bs_n", "br_n"), tokens, records.where("src = 1"), known, [*RECORD_COLUMNS, "rid_"])
+    x = view_dots(pairs.select("q_rid", "e_rid", "bs_f", "br_f", "bs_n", "br_n", *keep), tokens, records.where("src = 1"), known, [*RECORD_COLUMNS, "rid_"])
     x = x.where("rid__q is not null and rid__e is not null")
     named = lambda side: F.when(F.length(f"core_{side}") > 0, F.col(f"core_{side}")).otherwise(F.col(f"name_full_{side}")).alias(f"c{side}")
     x = x.select("*", named("q"), named("e"))
     plain = ["bs_f", "br_f", "bs_n", "br_n", *[f"{k}_{v}" for v in VIEWS for k in ("cos", "covq", "cove", "nq", "ne")]]
-    x = x.select("q_rid", "e_rid", *plain, *text_features())
+    x = x.select("q_rid", "e_rid", *keep, *plain, *text_features())
     x = x.select("*", F.count("*").over(Window.partitionBy("q_rid")).cast("double").alias("q_ncand"))
-    return gap_to_best_other(x, GROUPED, ranks=True).select("q_rid", "e_rid", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return gap_to_best_other(x, GROUPED, ranks=True).select("q_rid", "e_rid", *keep, *[F.col(c).cast("double").alias(c) for c in FEATURES])

@@ -143,6 +143,17 @@ def test_shuffled_tokens_are_given_back_before_records_are_dealt(spark):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_planted_features_are_shuffled_once(spark):
+    """A pair's label and entity come along with it, so its features aren't joined with them."""
+    from kinlink.operators.features import stage1_features
+
+    r, pairs = met_table(spark)
+    marked = pairs.where("q_rid < 204 and e_rid < 5").selectExpr("*", "cast(q_rid - 200 = e_rid as int) AS y", "q_rid - 200 AS of")
+    found = stage1_features(marked, r, ("y", "of"))
+    assert sorted(map(tuple, found.select("q_rid", "e_rid", "y", "of").collect())) == sorted(map(tuple, marked.select("q_rid", "e_rid", "y", "of").collect()))
+    assert sorted(map(tuple, found.drop("y", "of").collect())) == sorted(map(tuple, stage1_features(marked, r).collect()))
+
+
 def test_no_index_and_no_queries(spark):
     from kinlink.operators import simjoin
 
