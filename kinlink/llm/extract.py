@@ -5,8 +5,10 @@ Blocks inside an article or main element are the article's, except in parts that
 leaves open what a block is - on a page without such an element, and in parts whose class names sites and
 authors use alike - the text that the host repeats is boilerplate.
 
-For that the token streams of all blocks outside of articles are concatenated for each host, and their
-suffixes are sorted, cut after `depth` tokens. Equal suffixes are one entry of the array with the pages that have
+All blocks of all pages go through the array: for each host it has the token streams of the blocks outside of articles, and as
+a text of its own those of articles, so that a copied article takes nothing from an undecided page. What the array finds
+repeated is taken out, and a check follows that puts back what the markup says is the article's (n_repeated tokens of a page).
+The streams are concatenated for each host, and their suffixes are sorted, cut after `depth` tokens. Equal suffixes are one entry of the array with the pages that have
 it (`repeats` of them at most, as more change nothing), made before the shuffle, and the array is dealt by
 ranges of (host, suffix), so a hot host is spread over tasks. One pass over neighbours and their common
 prefixes yields the intervals of suffixes that agree in `run` tokens or more, with their pages and the
@@ -14,6 +16,10 @@ longest prefix that `repeats` pages share; intervals that a range border cuts ar
 `run` tokens or more on `repeats` pages covers are taken out; unique runs stay. A longer repeated substring
 covers just what its parts of `run` tokens cover, so the cut at `depth` changes no result.
 
+Suffixes are shuffled only where they may be repeated. Of the hashes of half runs in each run the least is the run's anchor, so equal
+runs have equal anchors; anchors are counted first, packed, and a bitmap of a fixed 8 MB has those of `repeats` pages. It lets
+others through too, but misses none.
+
 Pages with the same streams count as one page. Text that is clearly an article's is never taken out,
 however often a host repeats it: articles may be copies.
 
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import map_batches, map_rows, schema, staged
+from kinlink.llm.common import _marked, map_batches, map_rows, schema, staged
 from kinlink.llm.htmltext import blocks
 
 #: text holds the whole result unless parts are doubtful; then parts has all candidates in page order and
@@ -73,6 +79,81 @@ def tokens(stream: list[str]) -> bytes:
     return b"".join([xxhash.xxh32_digest(t.encode("utf-8", "surrogatepass")) for block in stream for t in block.split(" ")])
 
 
+def article(text: str | None, parts: list[str] | None, places: list[int] | None) -> list[str]:
+    """The blocks of a page that are the article's."""
+    return text.split("\n") if text else [p for p, at in zip(parts or (), places or (), strict=True) if at < 0]
+
+
+def texts(batch: dict[str, list]) -> Iterator[tuple[int, int, str, bytes]]:
+    """Place in the batch, sign of places (1: of the stream, -1: of the article), name and tokens of what pages add to the array."""
+    for n, (host, stream, *own) in enumerate(zip(*(batch[c] for c in ARRAY), strict=True)):
+        yield n, 1, host, tokens(stream)
+        yield n, -1, f"{host}/article", tokens(article(*own))
+
+
+ARRAY = ("host", "stream", "text", "parts", "places")
+BUCKETS, SLOTS = 1 << 12, 1 << 14  # of anchors, and of a bucket in the bitmap
+
+
+def anchors(name: str, data: bytes, run: int) -> np.ndarray:
+    """A number of 32 bits for each run of tokens, equal for equal runs of one name and the same for many neighbouring runs."""
+    t = np.frombuffer(data, np.uint32).astype(np.uint64)
+    if len(t) < run:
+        return np.zeros(0, np.uint32)
+    half = (run + 1) // 2
+    h = np.full(len(t) - half + 1, xxhash.xxh64_intdigest(name), np.uint64)
+    for k in range(half):
+        h = (h ^ t[k : len(t) - half + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    least = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+    return np.lib.stride_tricks.sliding_window_view(least, run - half + 1).min(axis=1)
+
+
+def often(parsed: DataFrame, run: int, repeats: int, flush: int = 4_000_000) -> np.ndarray:
+    """A bitmap of the anchors that `repeats` pages have; copies of a page count here."""
+
+    def packed(batches):
+        held: list[np.ndarray] = []
+
+        def rows():
+            found, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_counts=True)
+            held.clear()
+            n = np.minimum(n, repeats).astype(np.uint8)
+            first = np.searchsorted(found, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(20))
+            full = np.flatnonzero(np.diff(first))
+            return {"bucket": full.tolist(), "keys": [found[first[b] : first[b + 1]].tobytes() for b in full], "counts": [n[first[b] : first[b + 1]].tobytes() for b in full]}
+
+        for b in batches:
+            held += [np.unique(anchors(name, data, run)) for _, _, name, data in texts(b)]
+            if sum(map(len, held)) > flush:
+                yield rows()
+        yield rows()
+
+    def merged(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for bucket, keys, counts in zip(b["bucket"], b["keys"], b["counts"], strict=True):
+                held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.uint8)))
+        for bucket, own in held.items():
+            keys, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+            full = keys[np.bincount(at, np.concatenate([c for _, c in own])) >= repeats]
+            bits = np.zeros(SLOTS, bool)
+            bits[(full >> np.uint32(6)) % SLOTS] = True
+            yield {"bucket": [bucket], "bits": [np.packbits(bits).tobytes()]}
+
+    counted = map_rows(parsed.select(*ARRAY), packed, schema(bucket=T.IntegerType(), keys=T.BinaryType(), counts=T.BinaryType())).repartition("bucket")
+    out = np.zeros((BUCKETS, SLOTS // 8), np.uint8)
+    for r in map_rows(counted, merged, schema(bucket=T.IntegerType(), bits=T.BinaryType())).collect():
+        out[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def runs_of(name: str, data: bytes, run: int, bitmap: np.ndarray) -> list[int]:
+    """Where the runs of a stream begin that may be repeated."""
+    slot = anchors(name, data, run) >> np.uint32(6)
+    return np.flatnonzero(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist()
+
+
 def unique_runs(parts: list[str], places: list[int], repeated: list[int], run: int) -> str:
     """The parts without what repeated substrings of `run` tokens at the given places of the stream cover.
 
@@ -166,7 +247,7 @@ class Neighbours:
             self.stack.append((size, self._few(set(pages))))
 
 
-def repeated_heads(parsed: DataFrame, run: int, repeats: int, depth: int, flush: int = 100_000) -> DataFrame:
+def repeated_heads(parsed: DataFrame, bitmap, run: int, repeats: int, depth: int, flush: int = 100_000) -> DataFrame:
     """(host, head, longest): the first `run` tokens of suffixes on `repeats` pages or more of a host, and the longest
     prefix that so many share in one range (up to `depth` tokens)."""
 
@@ -179,11 +260,10 @@ def repeated_heads(parsed: DataFrame, run: int, repeats: int, depth: int, flush:
             return out
 
         for b in batches:
-            for host, stream in zip(b["host"], b["stream"], strict=True):
-                data = tokens(stream)
+            for _, _, host, data in texts(b):
                 page = xxhash.xxh3_64_intdigest(data) - (1 << 63)
-                for at in range(0, len(data) - 4 * run + 1, 4):
-                    pages = found.setdefault((host, data[at : at + 4 * depth]), set())
+                for at in runs_of(host, data, run, bitmap.value):
+                    pages = found.setdefault((host, data[4 * at : 4 * (at + depth)]), set())
                     if len(pages) < repeats:
                         pages.add(page)
                 if len(found) > flush:
@@ -205,14 +285,14 @@ def repeated_heads(parsed: DataFrame, run: int, repeats: int, depth: int, flush:
         walk.end(border=True)
         yield rows()
 
-    array = map_rows(parsed.select("host", "stream"), suffixes, SUFFIX).repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix")
+    array = map_rows(parsed.select(*ARRAY), suffixes, SUFFIX).repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix")
     # an interval has one row a range, and no row more pages than `repeats`
     whole = map_batches(array, neighbours, INTERVAL).groupBy("host", "head").agg(F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("pages"))).alias("pages"))
     return whole.where(F.size("pages") >= repeats).select("host", "head", "longest")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = 8, repeats: int = 3, depth: int = 16) -> DataFrame:
-    """page_id, url and main text of each row, and whether the host's suffix array had a part in it."""
+    """page_id, url and main text of each row, whether the host's suffix array decided parts of it, and how many tokens of the article it found repeated."""
     source = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def read(batches):
@@ -232,31 +312,42 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             }
 
     parsed = staged(map_rows(source, read, PARSED), "pages")
-    repeated = repeated_heads(parsed, run, repeats, depth)
+    bitmap = parsed.sparkSession.sparkContext.broadcast(often(parsed, run, repeats))
+    repeated = repeated_heads(parsed, bitmap, run, repeats, depth)
 
     def asked(batches):
         for b in batches:
             out = {"host": [], "head": [], "row": [], "place": []}
-            for host, row, stream in zip(b["host"], b["row"], b["stream"], strict=True):
-                data = tokens(stream)
-                for at in range(0, len(data) - 4 * run + 1, 4):
-                    for name, value in zip(out, (host, data[at : at + 4 * run], row, at // 4), strict=True):
-                        out[name].append(value)
+            for n, sign, name, data in texts(b):
+                for at in runs_of(name, data, run, bitmap.value):
+                    for column, value in zip(out, (name, data[4 * at : 4 * (at + run)], b["row"][n], at if sign > 0 else ~at), strict=True):
+                        out[column].append(value)
             yield out
 
-    open_pages = parsed.where("doubtful")
-    heads = map_rows(open_pages.select("host", "row", "stream"), asked, schema(host=T.StringType(), head=T.BinaryType(), row=T.LongType(), place=T.IntegerType()))
-    covered = heads.join(repeated, ["host", "head"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("repeated"))
+    heads = map_rows(parsed.select("row", *ARRAY), asked, schema(host=T.StringType(), head=T.BinaryType(), row=T.LongType(), place=T.IntegerType()))
+    covered = staged(heads.join(repeated, ["host", "head"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("repeated")), "repeated")
 
     def cleaned(batches):
+        """What the array leaves of the blocks, and the article's blocks whole again."""
         for b in batches:
-            yield {"page_id": b["page_id"], "url": b["url"], "text": [unique_runs(*one, run) for one in zip(b["parts"], b["places"], (r or [] for r in b["repeated"]), strict=True)], "by_array": [True] * len(b["url"])}
+            found = [r or [] for r in b["repeated"]]
+            parts = [article(t, p, None) if p is None else p for t, p in zip(b["text"], b["parts"], strict=True)]
+            places = [[-1] * len(p) if at is None else at for p, at in zip(parts, b["places"], strict=True)]
+            yield {
+                "page_id": b["page_id"],
+                "url": b["url"],
+                "text": [unique_runs(p, at, [r for r in own if r >= 0], run) for p, at, own in zip(parts, places, found, strict=True)],
+                "by_array": b["doubtful"],
+                "n_repeated": [len({n for r in own if r < 0 for n in range(~r, ~r + run)}) for own in found],
+            }
 
-    result = schema(page_id=T.LongType(), url=T.StringType(), text=T.StringType(), by_array=T.BooleanType())
-    decided = map_rows(open_pages.select("row", "page_id", "url", "parts", "places").join(covered, "row", "left"), cleaned, result)
-    return parsed.where("not doubtful").select("page_id", "url", "text", F.lit(False).alias("by_array")).unionByName(decided)
+    result = schema(page_id=T.LongType(), url=T.StringType(), text=T.StringType(), by_array=T.BooleanType(), n_repeated=T.LongType())
+    marked, touched = _marked(parsed, "row", covered, 1 << 26)
+    touched |= F.col("doubtful")
+    decided = map_rows(marked.where(touched).select("row", "page_id", "url", "text", "parts", "places", "doubtful").join(covered, "row", "left").drop("row"), cleaned, result)
+    return marked.where(~touched).select("page_id", "url", "text", F.lit(False).alias("by_array"), F.lit(0).cast("long").alias("n_repeated")).unionByName(decided)
 
 
 def op10_extract(spark, sf_dir: str) -> DataFrame:
     """Main text of every page, by main_text()."""
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_array")
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_array", "n_repeated")

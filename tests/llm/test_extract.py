@@ -149,3 +149,28 @@ def test_query_equals_the_articles(spark, data):
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?p>|</?h1>", body)]
         assert rows[p.page_id].text == "\n".join(b for b in parts if b)
         assert rows[p.page_id].n_chars == len(rows[p.page_id].text)
+
+
+def test_articles_go_through_the_array(spark):
+    """What a host's articles repeat is found by the array, and the check puts it back; unique ones have nothing repeated."""
+    same = "the very same article of ten words on many pages"
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{same}</p><p>story {i}</p></article>", None, None) for i in range(5)]
+    rows += [(9, "http://h.example/9", "<article><p>one that no other page of the host has at all</p></article>", None, None), (10, "http://o.example/", f"<article><p>{same}</p></article>", None, None)]
+    got = {r.page_id: (r.text, r.n_repeated) for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {**{i: (f"{same}\nstory {i}", 11) for i in range(5)}, 9: ("one that no other page of the host has at all", 0), 10: (same, 0)}
+    # undecided pages keep what only articles repeat
+    rows += [(20, "http://h.example/20", f"<p>{same}</p>", None, None)]
+    assert {r.text for r in x.main_text(spark.createDataFrame(rows, PAGES)).collect() if r.page_id == 20} == {same}
+
+
+def test_equal_runs_have_equal_anchors():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for run in (1, 2, 5, 8):
+        stream = [f"w{n}" for n in rng.integers(0, 3, 300)]
+        a = x.anchors("h", x.tokens([" ".join(stream)]), run)
+        seen = {}
+        for i in range(len(stream) - run + 1):
+            assert seen.setdefault(tuple(stream[i : i + run]), a[i]) == a[i]
+        assert len(a) == len(stream) - run + 1 and not len(x.anchors("h", b"", run))
