@@ -16,7 +16,7 @@ longest prefix that `repeats` pages share; intervals that a range border cuts ar
 `run` tokens or more on `repeats` pages covers are taken out; unique runs stay. A longer repeated substring
 covers just what its parts of `run` tokens cover, so the cut at `depth` changes no result.
 
-Suffixes are shuffled only where they may be repeated. Of the hashes of half runs in each run the least is the run's anchor, so equal
+Suffixes are shuffled only where they may be repeated. Of the hashes of parts of a run, two tokens shorter at most, the least is the run's anchor, so equal
 runs have equal anchors; anchors are counted first, packed, and a bitmap of a fixed 8 MB has those of `repeats` pages. It lets
 others through too, but misses none.
 
@@ -30,6 +30,7 @@ rows give repeated results; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -74,9 +75,14 @@ def parse(page: str | None) -> tuple[list[str], list[int], list[str]]:
     return parts, places, stream
 
 
+@lru_cache(1 << 17)
+def token(word: str) -> bytes:
+    return xxhash.xxh32_digest(word.encode("utf-8", "surrogatepass"))
+
+
 def tokens(stream: list[str]) -> bytes:
     """The tokens of a stream as hashes of four bytes each, in a row."""
-    return b"".join([xxhash.xxh32_digest(t.encode("utf-8", "surrogatepass")) for block in stream for t in block.split(" ")])
+    return b"".join([token(t) for block in stream for t in block.split(" ")])
 
 
 def article(text: str | None, parts: list[str] | None, places: list[int] | None) -> list[str]:
@@ -100,13 +106,13 @@ def anchors(name: str, data: bytes, run: int) -> np.ndarray:
     t = np.frombuffer(data, np.uint32).astype(np.uint64)
     if len(t) < run:
         return np.zeros(0, np.uint32)
-    half = (run + 1) // 2
-    h = np.full(len(t) - half + 1, xxhash.xxh64_intdigest(name), np.uint64)
-    for k in range(half):
-        h = (h ^ t[k : len(t) - half + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    size = max((run + 1) // 2, run - 2)  # longer ones are more, but fewer of them are common
+    h = np.full(len(t) - size + 1, xxhash.xxh64_intdigest(name), np.uint64)
+    for k in range(size):
+        h = (h ^ t[k : len(t) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     least = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(least, run - half + 1).min(axis=1)
+    return np.lib.stride_tricks.sliding_window_view(least, run - size + 1).min(axis=1)
 
 
 def often(parsed: DataFrame, run: int, repeats: int, flush: int = 4_000_000) -> np.ndarray:
@@ -313,6 +319,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     parsed = staged(map_rows(source, read, PARSED), "pages")
     bitmap = parsed.sparkSession.sparkContext.broadcast(often(parsed, run, repeats))
+    parsed.sparkSession.sparkContext._jvm.System.gc()  # the shuffled anchors are given back
     repeated = repeated_heads(parsed, bitmap, run, repeats, depth)
 
     def asked(batches):
