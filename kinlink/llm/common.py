@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from bisect import bisect_left
@@ -30,14 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kinlink-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffles_back(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more are removed: Python's references end first, then Java's."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch that Python reads at once; lists of its strings take several times as much.
 BATCH_BYTES = 16 << 20
 

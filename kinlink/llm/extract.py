@@ -8,11 +8,12 @@ authors use alike - the text that the host repeats is boilerplate.
 All blocks of all pages go through the array: for each host it has the token streams of the blocks outside of articles, and as
 a text of its own those of articles, so that a copied article takes nothing from an undecided page. What the array finds
 repeated is taken out, and a check follows that puts back what the markup says is the article's (n_repeated tokens of a page).
-The streams are concatenated for each host, and their suffixes are sorted, cut after `depth` tokens. Equal suffixes are one entry of the array with the pages that have
-it (`repeats` of them at most, as more change nothing), made before the shuffle, and the array is dealt by
-ranges of (host, suffix), so a hot host is spread over tasks. One pass over neighbours and their common
+The suffixes of a host's texts are sorted, cut after `depth` tokens. Equal suffixes are one entry of the array with the pages that have
+it (`repeats` of them at most, as more change nothing). The array is dealt by anchors (below), so that equal runs are in one part and runs that
+follow each other travel as one stretch of tokens; runs that `repeats` pages of a task share are settled in that task and send
+`repeats` of their suffixes for the pages of others, so a hot run is a few rows a task. One pass over neighbours and their common
 prefixes yields the intervals of suffixes that agree in `run` tokens or more, with their pages and the
-longest prefix that `repeats` pages share; intervals that a range border cuts are put together. Tokens that a substring of
+longest prefix that `repeats` pages share. Tokens that a substring of
 `run` tokens or more on `repeats` pages covers are taken out; unique runs stay. A longer repeated substring
 covers just what its parts of `run` tokens cover, so the cut at `depth` changes no result.
 
@@ -29,7 +30,6 @@ rows give repeated results; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlsplit
 
@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import _marked, map_batches, map_rows, schema, staged
+from kinlink.llm.common import _marked, map_rows, schema, shuffles_back, staged
 from kinlink.llm.htmltext import blocks
 
 #: text holds the whole result unless parts are doubtful; then parts has all candidates in page order and
 #: places the token of the stream that each begins at (-1: it stays in any case).
 PARSED = schema(
     row=T.LongType(), page_id=T.LongType(), url=T.StringType(), host=T.StringType(), text=T.StringType(),
-    parts=T.ArrayType(T.StringType()), places=T.ArrayType(T.IntegerType()), stream=T.ArrayType(T.StringType()), doubtful=T.BooleanType(),
+    parts=T.ArrayType(T.StringType()), places=T.ArrayType(T.IntegerType()), stream=T.StringType(), doubtful=T.BooleanType(),
 )
 
 
@@ -75,14 +75,52 @@ def parse(page: str | None) -> tuple[list[str], list[int], list[str]]:
     return parts, places, stream
 
 
-@lru_cache(1 << 17)
-def token(word: str) -> bytes:
-    return xxhash.xxh32_digest(word.encode("utf-8", "surrogatepass"))
+SLICE = 1 << 20  # bytes that are hashed at once
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number from 0 to n, modulo 2 to the 64, and those of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """Hashes of 32 bits of the words of data, UTF-8 with one space or line break between words."""
+    ends = np.r_[np.flatnonzero((data == 32) | (data == 10)), len(data)]
+    starts = np.r_[0, ends[:-1] + 1]
+    up, down = _powers(max(SLICE, len(data)))
+    # sums of a word's bytes times powers of the place, so that a word is a difference of two
+    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(0x9E37)) * up[: len(data)])]
+    h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def hashed(text: str) -> np.ndarray:
+    """The tokens of a text as hashes of 32 bits; none of an empty one."""
+    raw = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    out, at = [], 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):  # a slice ends where a word ends
+            cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
+            end = cut if cut > at else min([k for k in (raw.find(b" ", end), raw.find(b"\n", end)) if k >= 0], default=len(raw))
+        out.append(_words(data[at:end]))
+        at = end + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def tokens(stream: list[str]) -> bytes:
     """The tokens of a stream as hashes of four bytes each, in a row."""
-    return b"".join([token(t) for block in stream for t in block.split(" ")])
+    return hashed("\n".join(stream)).tobytes()
+
+
+@lru_cache(1 << 12)
+def _seed(name: str) -> int:
+    return xxhash.xxh64_intdigest(name)
 
 
 def article(text: str | None, parts: list[str] | None, places: list[int] | None) -> list[str]:
@@ -90,29 +128,66 @@ def article(text: str | None, parts: list[str] | None, places: list[int] | None)
     return text.split("\n") if text else [p for p, at in zip(parts or (), places or (), strict=True) if at < 0]
 
 
-def texts(batch: dict[str, list]) -> Iterator[tuple[int, int, str, bytes]]:
-    """Place in the batch, sign of places (1: of the stream, -1: of the article), name and tokens of what pages add to the array."""
-    for n, (host, stream, *own) in enumerate(zip(*(batch[c] for c in ARRAY), strict=True)):
-        yield n, 1, host, tokens(stream)
-        yield n, -1, f"{host}/article", tokens(article(*own))
-
-
 ARRAY = ("host", "stream", "text", "parts", "places")
-BUCKETS, SLOTS = 1 << 12, 1 << 14  # of anchors, and of a bucket in the bitmap
-
-
-def anchors(name: str, data: bytes, run: int) -> np.ndarray:
-    """A number of 32 bits for each run of tokens, equal for equal runs of one name and the same for many neighbouring runs."""
-    t = np.frombuffer(data, np.uint32).astype(np.uint64)
+BUCKETS, SLOTS = 1 << 8, 1 << 18  # of anchors, and of a bucket in the bitmap
+
+
+class Texts:
+    """What the pages of a batch add to the array, their streams and their articles: all tokens in a row, where each text begins
+    and ends, the number of its name (the host's streams or articles), its page in the batch, and whether it is an article."""
+
+    def __init__(self, batch: dict[str, list]) -> None:
+        found = []
+        for n, (host, stream, text, parts, places) in enumerate(zip(*(batch[c] for c in ARRAY), strict=True)):
+            if stream:
+                found.append((stream, _seed(host), n, False))
+            own = text or "\n".join(article(text, parts, places))
+            if own:
+                found.append((own, _seed(f"{host}/article"), n, True))
+        self.tokens = hashed("\n".join([f[0] for f in found]))
+        sizes = np.array([f[0].count(" ") + f[0].count("\n") + 1 for f in found], np.int64)
+        self.end = np.cumsum(sizes)
+        self.start = self.end - sizes
+        self.name, self.page, self.article = (np.array([f[k] for f in found], t) for k, t in ((1, np.uint64), (2, np.int64), (3, bool)))
+
+    def runs(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where runs of tokens begin, the text of each, and its anchor."""
+        of = np.repeat(np.arange(len(self.end)), self.end - self.start)
+        at = np.flatnonzero(np.arange(len(of)) + run <= self.end[of]) if len(of) else of
+        return at, of[at], _anchors(self.name[of], self.tokens, run)[at] if len(at) else np.zeros(0, np.uint32)
+
+
+def _anchors(seeds: np.ndarray, found: np.ndarray, run: int) -> np.ndarray:
+    t = found.astype(np.uint64)
     if len(t) < run:
         return np.zeros(0, np.uint32)
     size = max((run + 1) // 2, run - 2)  # longer ones are more, but fewer of them are common
-    h = np.full(len(t) - size + 1, xxhash.xxh64_intdigest(name), np.uint64)
+    h = seeds[: len(t) - size + 1].copy()
     for k in range(size):
-        h = (h ^ t[k : len(t) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= t[k : len(t) - size + 1 + k]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    least = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(least, run - size + 1).min(axis=1)
+    hashes = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+    least = hashes[: len(t) - run + 1].copy()
+    for k in range(1, run - size + 1):
+        np.minimum(least, hashes[k : k + len(least)], out=least)
+    return least
+
+
+def anchors(name: str, data: bytes, run: int) -> np.ndarray:
+    """A number of 32 bits for each run of tokens, equal for equal runs of one name and the same for many neighbouring runs."""
+    t = np.frombuffer(data, np.uint32)
+    return _anchors(np.full(len(t), _seed(name), np.uint64), t, run)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte place by byte place."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(kind).reshape(n)
 
 
 def often(parsed: DataFrame, run: int, repeats: int, flush: int = 4_000_000) -> np.ndarray:
@@ -125,12 +200,16 @@ def often(parsed: DataFrame, run: int, repeats: int, flush: int = 4_000_000) ->
             found, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_counts=True)
             held.clear()
             n = np.minimum(n, repeats).astype(np.uint8)
-            first = np.searchsorted(found, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(20))
+            first = np.searchsorted(found, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(24))
             full = np.flatnonzero(np.diff(first))
-            return {"bucket": full.tolist(), "keys": [found[first[b] : first[b + 1]].tobytes() for b in full], "counts": [n[first[b] : first[b + 1]].tobytes() for b in full]}
+            own = [slice(first[b], first[b + 1]) for b in full]
+            return {"bucket": full.tolist(), "n": [s.stop - s.start for s in own], "keys": [_packed(np.diff(found[s], prepend=np.uint32(0))) for s in own], "counts": [_packed(n[s]) for s in own]}
 
         for b in batches:
-            held += [np.unique(anchors(name, data, run)) for _, _, name, data in texts(b)]
+            texts = Texts(b)
+            _, of, found = texts.runs(run)
+            pairs = np.unique(of.astype(np.uint64) << np.uint64(32) | found)  # an anchor once a text
+            held.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             if sum(map(len, held)) > flush:
                 yield rows()
         yield rows()
@@ -138,28 +217,24 @@ def often(parsed: DataFrame, run: int, repeats: int, flush: int = 4_000_000) ->
     def merged(batches):
         held: dict[int, list] = {}
         for b in batches:
-            for bucket, keys, counts in zip(b["bucket"], b["keys"], b["counts"], strict=True):
-                held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.uint8)))
+            for bucket, n, keys, counts in zip(b["bucket"], b["n"], b["keys"], b["counts"], strict=True):
+                held.setdefault(bucket, []).append((np.cumsum(_unpacked(keys, np.uint32, n), dtype=np.uint32), _unpacked(counts, np.uint8, n)))
         for bucket, own in held.items():
-            keys, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
-            full = keys[np.bincount(at, np.concatenate([c for _, c in own])) >= repeats]
+            keys, n = np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own])
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             bits = np.zeros(SLOTS, bool)
-            bits[(full >> np.uint32(6)) % SLOTS] = True
+            bits[(keys[first][np.add.reduceat(n, first) >= repeats] >> np.uint32(6)) % SLOTS] = True
             yield {"bucket": [bucket], "bits": [np.packbits(bits).tobytes()]}
 
-    counted = map_rows(parsed.select(*ARRAY), packed, schema(bucket=T.IntegerType(), keys=T.BinaryType(), counts=T.BinaryType())).repartition("bucket")
+    counted = map_rows(parsed.select(*ARRAY), packed, schema(bucket=T.IntegerType(), n=T.IntegerType(), keys=T.BinaryType(), counts=T.BinaryType())).repartition("bucket")
     out = np.zeros((BUCKETS, SLOTS // 8), np.uint8)
     for r in map_rows(counted, merged, schema(bucket=T.IntegerType(), bits=T.BinaryType())).collect():
         out[r.bucket] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
 
-def runs_of(name: str, data: bytes, run: int, bitmap: np.ndarray) -> list[int]:
-    """Where the runs of a stream begin that may be repeated."""
-    slot = anchors(name, data, run) >> np.uint32(6)
-    return np.flatnonzero(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist()
-
-
 def unique_runs(parts: list[str], places: list[int], repeated: list[int], run: int) -> str:
     """The parts without what repeated substrings of `run` tokens at the given places of the stream cover.
 
@@ -192,10 +267,6 @@ def unique_runs(parts: list[str], places: list[int], repeated: list[int], run: i
     return "\n".join(out)
 
 
-SUFFIX = schema(host=T.StringType(), suffix=T.BinaryType(), pages=T.ArrayType(T.LongType()))
-INTERVAL = schema(host=T.StringType(), head=T.BinaryType(), longest=T.IntegerType(), pages=T.ArrayType(T.LongType()))
-
-
 class Neighbours:
     """A pass over sorted suffixes of one range: intervals of common prefixes of `run` tokens or more."""
 
@@ -253,48 +324,152 @@ class Neighbours:
             self.stack.append((size, self._few(set(pages))))
 
 
-def repeated_heads(parsed: DataFrame, bitmap, run: int, repeats: int, depth: int, flush: int = 100_000) -> DataFrame:
-    """(host, head, longest): the first `run` tokens of suffixes on `repeats` pages or more of a host, and the longest
-    prefix that so many share in one range (up to `depth` tokens)."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each of starts on, as many as sizes says."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-    def suffixes(batches):
-        found: dict[tuple[str, bytes], set[int]] = {}
 
-        def rows():
-            out = {"host": [k[0] for k in found], "suffix": [k[1] for k in found], "pages": [sorted(v) for v in found.values()]}
-            found.clear()
-            return out
+#: What a task sends to one part of the array: stretches of runs that follow each other (their page's row, place of the first run, ~place in
+#: an article, number of name and hash of the text, runs and tokens), their tokens, and runs that are settled.
+STRETCHES = {"row": np.int64, "place": np.int32, "name": np.uint64, "page": np.uint64, "runs": np.uint32, "size": np.uint32}
+SETTLED = {"told_row": np.int64, "told_place": np.int32}
+DEALT = schema(part=T.IntegerType(), n=T.IntegerType(), n_tokens=T.IntegerType(), n_told=T.IntegerType(), tokens=T.BinaryType(), **{c: T.BinaryType() for c in (*STRETCHES, *SETTLED)})
+REPEATED = schema(row=T.LongType(), places=T.ArrayType(T.IntegerType()))
 
-        for b in batches:
-            for _, _, host, data in texts(b):
-                page = xxhash.xxh3_64_intdigest(data) - (1 << 63)
-                for at in runs_of(host, data, run, bitmap.value):
-                    pages = found.setdefault((host, data[4 * at : 4 * (at + depth)]), set())
-                    if len(pages) < repeats:
-                        pages.add(page)
-                if len(found) > flush:
-                    yield rows()
-        yield rows()
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = Neighbours(run, repeats)
+def dealt(parsed: DataFrame, bitmap, parts: int, run: int, repeats: int, depth: int, flush: int = 500_000) -> DataFrame:
+    """The suffixes that may be repeated, each with its run's place, by parts of the array: equal runs are in one part.
 
-        def rows() -> pa.RecordBatch:
-            made, walk.out = walk.out, []
-            columns = list(zip(*made, strict=True)) if made else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=INTERVAL.names)
+    Runs that `repeats` pages of a task share are settled there: `repeats` of their suffixes go to the array, for the pages of other tasks, and
+    of the others just the places.
+    """
 
+    def rows(held: list[dict[str, np.ndarray]]):
+        out = {c: [] for c in DEALT.names}
+        base = np.cumsum([0] + [len(h["tokens"]) for h in held])[:-1]
+        at, end = (np.concatenate([h[c] + b for h, b in zip(held, base, strict=True)] or [np.zeros(0, np.int64)]) for c in ("at", "end"))
+        if not len(at):
+            return out
+        t, anchor, row, place, name, page = (np.concatenate([h[c] for h in held]) for c in ("tokens", "anchor", "row", "place", "name", "page"))
+        held.clear()
+        head = name.copy()
+        for k in range(run):
+            head = (head ^ t[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            head ^= head >> np.uint64(32)
+        order = np.lexsort((page, head))
+        first = np.r_[True, head[order][1:] != head[order][:-1]]
+        new = first | np.r_[True, page[order][1:] != page[order][:-1]]  # the first run of a page
+        group, nth = np.cumsum(first) - 1, np.cumsum(new)
+        known = (np.bincount(group, new) >= repeats)[group]
+        told = np.zeros(len(at), bool)
+        told[order] = known & ~(new & (nth - nth[np.flatnonzero(first)][group] < repeats))
+        part = ((anchor * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part[told] = row[told] % parts  # by pages: a hot run is no part's burden
+        order = np.lexsort((at, part, told))
+        n = len(at) - int(told.sum())
+        asked, settled = order[:n], order[n:]
+        at, own, last = at[asked], part[asked], end[asked]
+        begins = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]) | (last[1:] != last[:-1])][:n])
+        stops = np.r_[begins[1:], n][: len(begins)] - 1
+        size = at[stops] - at[begins] + np.minimum(depth, last[stops] - at[stops])
+        stretch = {"row": row[asked][begins], "place": place[asked][begins], "name": name[asked][begins], "page": page[asked][begins], "runs": stops - begins + 1, "size": size}
+        for p in np.unique(part):
+            a, z = np.searchsorted(own[begins], [p, p + 1])
+            c, d = np.searchsorted(part[settled], [p, p + 1])
+            body = t[_ranges(at[begins[a:z]], size[a:z])]
+            told_row = row[settled[c:d]]
+            for column, value in (("part", int(p)), ("n", z - a), ("n_tokens", len(body)), ("n_told", d - c), ("tokens", _packed(body)), ("told_row", _packed(np.diff(told_row, prepend=np.int64(0)))), ("told_place", _packed(place[settled[c:d]]))):
+                out[column].append(value)
+            for column, kind in STRETCHES.items():
+                value = stretch[column][a:z].astype(kind)
+                out[column].append(_packed(np.diff(value, prepend=np.int64(0)) if column == "row" else value))
+        return out
+
+    def deal(batches):
+        held: list[dict[str, np.ndarray]] = []
+        bits = np.frombuffer(pa.decompress(bitmap.value, BUCKETS * SLOTS // 8, "zstd"), np.uint8)
         for b in batches:
-            for host, suffix, pages in zip(*(b.column(n).to_pylist() for n in SUFFIX.names), strict=True):
-                walk.add(host, suffix, pages)
-            yield rows()
-        walk.end(border=True)
-        yield rows()
-
-    array = map_rows(parsed.select(*ARRAY), suffixes, SUFFIX).repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix")
-    # an interval has one row a range, and no row more pages than `repeats`
-    whole = map_batches(array, neighbours, INTERVAL).groupBy("host", "head").agg(F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("pages"))).alias("pages"))
-    return whole.where(F.size("pages") >= repeats).select("host", "head", "longest")
+            texts = Texts(b)
+            at, of, anchor = texts.runs(run)
+            slot = anchor >> np.uint32(6)
+            may = np.flatnonzero(bits[slot >> np.uint32(3)] >> (np.uint8(7) - (slot & np.uint32(7)).astype(np.uint8)) & np.uint8(1))
+            at, of, anchor = at[may], of[may], anchor[may]
+            pages = np.array([xxhash.xxh3_64_intdigest(texts.tokens[i:j].tobytes()) for i, j in zip(texts.start, texts.end, strict=True)], np.uint64)
+            place = (at - texts.start[of]).astype(np.int32)
+            held.append({
+                "tokens": texts.tokens, "at": at, "end": texts.end[of], "anchor": anchor, "row": np.array(b["row"], np.int64)[texts.page[of]],
+                "place": np.where(texts.article[of], ~place, place), "name": texts.name[of], "page": pages[of],
+            })
+            if sum(len(h["at"]) for h in held) > flush or sum(len(h["tokens"]) for h in held) > 8 * flush:
+                yield rows(held)
+                held.clear()
+        yield rows(held)
+
+    return map_rows(parsed.select("row", *ARRAY), deal, DEALT)
+
+
+def repeated_places(parsed: DataFrame, bitmap, run: int, repeats: int, depth: int) -> DataFrame:
+    """(row, places): where runs begin that `repeats` pages or more of a host have; ~place in an article."""
+
+    def places_of(row: np.ndarray, place: np.ndarray) -> dict[str, list]:
+        order = np.lexsort((place, row))
+        row, place = row[order], place[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        return {"row": row[first].tolist(), "places": [x.tolist() for x in np.split(place, first[1:])] if len(row) else []}
+
+    def array(own: list[dict[str, np.ndarray]], stream: list[np.ndarray]) -> dict[str, list]:
+        """Sorts the suffixes of a part and looks for repeats among neighbours."""
+        row, place, name, page, runs, size = (np.concatenate([o[c] for o in own]) for c in STRETCHES)
+        t = np.r_[np.concatenate(stream), np.zeros(depth, np.uint32)]
+        runs, size = runs.astype(np.int64), size.astype(np.int64)
+        of, nth = np.repeat(np.arange(len(runs)), runs), _ranges(np.zeros(len(runs), np.int64), runs)
+        at, left = (np.cumsum(size) - size)[of] + nth, np.minimum(depth, size[of] - nth)
+        head = name[of]
+        for k in range(run):
+            head = (head ^ t[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            head ^= head >> np.uint64(32)
+        _, group, many = np.unique(head, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(many[group] >= repeats)  # others have too few runs
+        of, nth, at, left = of[some], nth[some], at[some], left[some]
+        suffix = np.where(np.arange(depth) < left[:, None], t[at[:, None] + np.arange(depth)], np.uint32(0))
+        order = np.lexsort((page[of], left, *suffix.T[::-1], name[of]))
+        of, nth, left, suffix = of[order], nth[order], left[order], suffix[order]
+        names, pages = name[of], page[of]
+        same = np.r_[False, (suffix[1:] == suffix[:-1]).all(1) & (left[1:] == left[:-1]) & (names[1:] == names[:-1])][: len(of)]
+        heads = np.r_[False, (suffix[1:, :run] == suffix[:-1, :run]).all(1) & (names[1:] == names[:-1])][: len(of)]
+        new = np.flatnonzero(~same | np.r_[True, pages[1:] != pages[:-1]][: len(of)])  # a suffix has a page once
+        entry = new[~same[new]]
+        upto = np.r_[np.flatnonzero(~same[new])[1:], len(new)] if len(new) else entry
+        walk, found = Neighbours(run, repeats), set()
+        ids, data, sizes, a = pages[new].tolist(), suffix[entry].tobytes(), left[entry].tolist(), 0
+        for n, (host, z) in enumerate(zip(names[entry].tolist(), upto.tolist(), strict=True)):
+            walk.add(host, data[4 * depth * n : 4 * (depth * n + sizes[n])], ids[a : min(z, a + repeats)])
+            a = z
+        walk.end(border=False)
+        found = {(host, head) for host, head, _, own in walk.out if len(own) >= repeats}
+        first = np.flatnonzero(~heads)
+        hit = np.array([(h, s.tobytes()) in found for h, s in zip(names[first].tolist(), suffix[first, :run], strict=True)], bool)
+        hit = np.repeat(hit, np.diff(np.r_[first, len(of)])) if len(of) else np.zeros(0, bool)
+        of, nth = of[hit], nth[hit].astype(np.int32)
+        return places_of(row[of], np.where(place[of] < 0, place[of] - nth, place[of] + nth))
+
+    def places(batches):
+        held: dict[int, tuple[list, list]] = {}
+        for b in batches:
+            for n, part in enumerate(b["part"]):
+                own = {c: _unpacked(b[c][n], kind, b["n"][n]) for c, kind in STRETCHES.items()}
+                own["row"] = np.cumsum(own["row"])
+                for found, value in zip(held.setdefault(part, ([], [])), (own, _unpacked(b["tokens"][n], np.uint32, b["n_tokens"][n])), strict=True):
+                    found.append(value)
+                told = [_unpacked(b[c][n], kind, b["n_told"][n]) for c, kind in SETTLED.items()]
+                yield places_of(np.cumsum(told[0]), told[1])
+        for part in list(held):
+            yield array(*held.pop(part))
+
+    spark = parsed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt(parsed, bitmap, parts, run, repeats, depth).repartitionById(parts, F.col("part"))
+    return map_rows(found, places, REPEATED).groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("repeated"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = 8, repeats: int = 3, depth: int = 16) -> DataFrame:
@@ -313,26 +488,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 "text": [None if o else "\n".join(parts) for o, (parts, _, _) in zip(open_, found, strict=True)],
                 "parts": [parts if o else None for o, (parts, _, _) in zip(open_, found, strict=True)],
                 "places": [places if o else None for o, (_, places, _) in zip(open_, found, strict=True)],
-                "stream": [stream for _, _, stream in found],
+                "stream": ["\n".join(stream) for _, _, stream in found],
                 "doubtful": open_,
             }
 
-    parsed = staged(map_rows(source, read, PARSED), "pages")
-    bitmap = parsed.sparkSession.sparkContext.broadcast(often(parsed, run, repeats))
-    parsed.sparkSession.sparkContext._jvm.System.gc()  # the shuffled anchors are given back
-    repeated = repeated_heads(parsed, bitmap, run, repeats, depth)
-
-    def asked(batches):
-        for b in batches:
-            out = {"host": [], "head": [], "row": [], "place": []}
-            for n, sign, name, data in texts(b):
-                for at in runs_of(name, data, run, bitmap.value):
-                    for column, value in zip(out, (name, data[4 * at : 4 * (at + run)], b["row"][n], at if sign > 0 else ~at), strict=True):
-                        out[column].append(value)
-            yield out
-
-    heads = map_rows(parsed.select("row", *ARRAY), asked, schema(host=T.StringType(), head=T.BinaryType(), row=T.LongType(), place=T.IntegerType()))
-    covered = staged(heads.join(repeated, ["host", "head"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("repeated")), "repeated")
+    parsed = staged(map_rows(source, read, PARSED), "pages", "zstd")
+    bitmap = parsed.sparkSession.sparkContext.broadcast(pa.compress(often(parsed, run, repeats).tobytes(), "zstd", asbytes=True))
+    shuffles_back(parsed.sparkSession)
+    covered = staged(repeated_places(parsed, bitmap, run, repeats, depth), "repeated")
+    shuffles_back(parsed.sparkSession)
 
     def cleaned(batches):
         """What the array leaves of the blocks, and the article's blocks whole again."""

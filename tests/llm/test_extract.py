@@ -174,3 +174,37 @@ def test_equal_runs_have_equal_anchors():
         for i in range(len(stream) - run + 1):
             assert seen.setdefault(tuple(stream[i : i + run]), a[i]) == a[i]
         assert len(a) == len(stream) - run + 1 and not len(x.anchors("h", b"", run))
+
+
+def test_words_hash_alike_in_any_slice(monkeypatch):
+    words = [f"w{n}" * (1 + n % 30) for n in range(300)] + ["é" * 200, "z" * 1000, "\ud800"]
+    whole = x.hashed(" ".join(words))
+    assert len(set(whole.tolist())) == len(words)
+    monkeypatch.setattr(x, "SLICE", 50)
+    assert x.hashed("\n".join(words)).tolist() == whole.tolist()
+    assert x.tokens([]) == x.tokens([""]) == b""
+
+
+def test_a_hot_run_is_a_few_suffixes_a_task(spark):
+    """What many pages of a task share goes to the array for `repeats` of them, of the others go the places."""
+    import numpy as np
+
+    line = " ".join(f"word{n}" for n in range(20))
+    rows = [(i, "http://h.example/", f"<article><p>start{i} {line} end{i}</p></article>", None, None) for i in range(200)]
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    read = df.selectExpr("page_id as row", "'h.example' as host", "'' as stream", f"concat('start', page_id, ' {line} end', page_id) as text", "cast(null as array<string>) as parts", "cast(null as array<int>) as places")
+    full = spark.sparkContext.broadcast(x.pa.compress(np.full(1 << 23, 255, np.uint8).tobytes(), "zstd", asbytes=True))
+    found = x.dealt(read, full, 4, 8, 3, 16).collect()
+    runs = sum(int(x._unpacked(r.runs, np.uint32, r.n).sum()) for r in found)
+    told = sum(r.n_told for r in found)
+    assert runs + told == 200 * (22 - 8 + 1) and told == 197 * (20 - 8 + 1)
+    assert sum(len(r.tokens) + sum(len(r[c]) for c in (*x.STRETCHES, *x.SETTLED)) for r in found) < 40_000  # each suffix with its page would be 200 KB
+    assert {r.n_repeated for r in x.main_text(df).collect()} == {20}
+
+
+def test_anchors_are_packed_to_under_three_bytes(spark):
+    import numpy as np
+
+    values = np.unique(np.random.default_rng(3).integers(0, 1 << 32, 200_000, dtype=np.uint32))
+    assert x._unpacked(x._packed(np.diff(values, prepend=np.uint32(0))), np.uint32, len(values)).cumsum(dtype=np.uint32).tolist() == values.tolist()
+    assert len(x._packed(np.diff(values, prepend=np.uint32(0)))) < 3 * len(values)
