@@ -15,7 +15,7 @@ from kinlink.operators import decide as d
 from kinlink.operators import fine, graph, metrics, model, rates, simjoin, splits
 from kinlink.operators.features import FEATURES, stage1_features
 from kinlink.operators.relational import dense_rid
-from kinlink.operators.tokens import name_marked, tokenize
+from kinlink.operators.tokens import indexed, name_marked, tokenize
 from kinlink.operators.windows import query_context
 from kinlink.sources.tables import TRUTH, load_config, read_tsv, save_config, settled, truth_pairs, write_lists
 
@@ -46,7 +46,7 @@ def records(sources: dict[int, DataFrame]) -> DataFrame:
 
 
 def block(rec: DataFrame, k_full: int = 20, k_name: int = 10, raw: bool = True) -> DataFrame:
-    return simjoin.candidates(settled(name_marked(tokenize(rec, True, raw))), rec.where("src = 1"), rec.where("src <> 1"), k_full, k_name)
+    return simjoin.candidates(lambda: settled(name_marked(tokenize(rec, True, raw, (indexed(),)))), rec.where("src = 1"), rec.where("src <> 1"), k_full, k_name)
 
 
 @dataclass

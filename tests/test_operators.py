@@ -228,3 +228,23 @@ def test_pairs_are_not_multiplied_by_neighbours(spark):
     row = c.where("q_rid = 205 and e_rid = 7").first()
     assert (row.nb_nclose, row.nb_hn_e, row.nb_hn_q, row.nb_xe) == (40, 0, 1, 0) and row.nb_xq == pytest.approx(1 / 40)
     assert bytes_shuffled(spark, lambda: graph.consensus(pairs, links, graph.keys(r))) < 3e6
+
+
+def test_marked_tokens_spare_a_shuffle(spark):
+    """Tokens that tell entities from queries give the same candidates, and aren't shuffled by record for it."""
+    from kinlink.operators import simjoin
+    from kinlink.sources import tables
+
+    tokens = tables.settled(spark.range(1500).selectExpr("id AS rid", "id < 300 AS indexed", "explode(transform(sequence(1, 31), x -> IF(x < 20, 't' || x, 'own' || id % 250 || x))) AS tok", "true AS name"))
+    ids = spark.range(1500).withColumnRenamed("id", "rid")
+    found, wrote = [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for own in (tokens.drop("indexed"), tokens):
+            before = shuffled(spark)
+            found.append(sorted(map(tuple, simjoin.candidates(own, ids.where("rid < 300"), ids.where("rid >= 300"), 5, 5, threshold=0.0).collect())))
+            wrote.append(shuffled(spark) - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and found[0]
+    assert wrote[1] < 0.9 * wrote[0], wrote

@@ -111,3 +111,20 @@ def test_stream(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("entity_id").select("entity_id", "core", "legal", "src").collect()
     assert [tuple(r) for r in got] == [("1", "foo", "pvt", 2), ("2", "bar", "inc", 2)]
+
+
+def test_tables_on_the_way_are_removed(spark):
+    """settled_alone() leaves the table it makes, and what inner calls of it have made."""
+    kept = []
+
+    def make():
+        kept.append(tables.settled_alone(lambda: tables.settled(spark.range(3))))
+        return kept[0].join(tables.settled(spark.range(2)), "id")
+
+    path = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    found = tables.settled_alone(make)
+    assert found.count() == 2 and kept[0].count() == 3
+    way = tables.settled(spark.range(1))
+    gone = []
+    tables.settled_alone(lambda: gone.append(path(tables.settled(spark.range(4)))) or way)
+    assert not tables.exists(spark, gone[0]) and tables.exists(spark, path(way))
