@@ -1,6 +1,9 @@
+import functools
 import itertools
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +42,69 @@ def test_decide(spark):
     assert decide.decide(s, method="mc").where("e_rid = 10").count() >= 2
 
 
+def table_f(p):
+    """All expectations by tables of both distributions, without steps or trimming."""
+    d = lambda q: functools.reduce(np.convolve, [[1 - x, x] for x in q], np.ones(1))
+    out = [d(p)[0]]
+    for k in range(1, len(p) + 1):
+        a, b = np.arange(k + 1)[:, None], np.arange(len(p) - k + 1)[None, :]
+        out.append((d(p[:k])[:, None] * d(p[k:])[None, :] * 1.25 * a / (0.25 * (a + b) + k)).sum())
+    return np.array(out)
+
+
+MANY = {
+    "even": lambda n, rng: rng.random(n),
+    "low": lambda n, rng: rng.beta(0.3, 1, n),
+    "ties": lambda n, rng: np.round(rng.random(n), 1),
+    "sure": lambda n, rng: np.where(rng.random(n) < 0.5, 1.0, 0.3 * rng.random(n)),
+    "alike": lambda n, rng: np.full(n, rng.random()),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(MANY))
+def test_expected_f_of_many(kind, monkeypatch):
+    """Steps, trimmed ends and sizes that are passed over change no expectation and no decision."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 25, 70, 130):
+        p = np.sort(MANY[kind](n, rng))[::-1]
+        f = table_f(p)
+        for step in (4, 512):
+            monkeypatch.setattr(decide, "STEP", step)
+            assert decide.expected_f(p) == pytest.approx(f, abs=1e-13)
+            assert decide.best_size(p, 0) == decide.best_size(p) == decide.best_k(f)
+
+
+def test_draws_do_not_depend_on_how_many_are_made_at_once():
+    p = np.array([0.9, 0.6, 0.2])
+    assert decide.sampled_f(p, 100, 0, cells=21) == pytest.approx(decide.sampled_f(p, 100, 0), abs=1e-12)
+
+
+@pytest.mark.parametrize("method", ["exact", "mc"])
+def test_decide_keeps_every_query_of_an_entity(spark, method):
+    """However many there are, in whichever batches they come."""
+    s = spark.range(2000).select(F.col("id").alias("q_rid"), F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("e_rid"), F.lit(0.95).alias("p")).repartition(5)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "64")
+    try:
+        got = [tuple(r) for r in decide.decide(s, method=method).collect()]
+    finally:
+        spark.conf.unset(name)
+    assert sorted(got) == [(i, 7 if i < 1500 else i, 0.95) for i in range(2000)]
+
+
+def test_decide_of_many_queries_equals_its_sql(spark):
+    from kinlink.plans.linkage_queries import _DECIDE
+
+    rng = np.random.default_rng(5)
+    p = np.concatenate([np.round(rng.random(70), 2), rng.beta(0.4, 1, 60), rng.random(9)])
+    best = pd.DataFrame({"q_rid": np.arange(len(p)), "e_rid": np.repeat([10, 11, 12], [70, 60, 9]), "p": p})
+    con = duckdb.connect()
+    con.register("best", best)
+    want = con.execute(f"WITH RECURSIVE {_DECIDE} SELECT q_rid, e_rid, p FROM top JOIN kk USING (e_rid) WHERE r <= k").fetchall()
+    got = [tuple(r) for r in decide.decide(spark.createDataFrame(best)).collect()]
+    assert sorted(got) == sorted(want) and sum(e == 10 for _, e, _ in got) > 24
+
+
 def test_macro_f05(spark):
     e = spark.createDataFrame([(1,), (2,), (3,)], "e_rid long")
     gt = spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "q_rid long, true_e long")
